@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE_SPACE = r"(?U)^\s+|\s+$"
@@ -33,9 +33,8 @@ def indian_rupees(amount: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words without stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     tokens = F.split(F.lower(text), WORD_BREAK, -1)
-    return F.filter(tokens, lambda t: (t != "") & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~t.isin("", *STOP_WORDS))
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -63,6 +62,16 @@ def trigrams(value: Column) -> Column:
     return F.array_distinct(pieces(F.concat(F.lit("  "), F.lower(value), F.lit(" ")), 3))
 
 
+def each(df: DataFrame, values: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array. A plain ``explode`` would make Spark add a filter
+    on the array, evaluate it a second time and push it below aggregates, to every input row."""
+    if position is None:
+        rows = df.withColumn(name, F.explode_outer(values))
+    else:
+        rows = df.select("*", F.posexplode_outer(values).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def without_numbers(value: Column) -> Column:
     """Stand-alone whole numbers removed, then trimmed."""
     return strip(F.regexp_replace(value, r"\b\d+\b", ""))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuelens.functions.text import strip
+from venuelens.functions.text import each, strip
 from venuelens.operators.skew import numbered, with_carry
 
 # Whole-message phrases, case ignored, closing marks allowed.
@@ -101,8 +101,7 @@ def message_tables(msgs: DataFrame, strict: bool = True) -> DataFrame:
             return F.transform(F.split(inner, r"\|", -1), strip)
         return F.filter(F.transform(F.split(row, r"\|", -1), strip), lambda c: c != "")
 
-    parts = msgs.filter(F.col("text").contains("##")).select(
-        "user", "turn", F.posexplode(F.split("text", "##", -1)).alias("part", "body"))
+    parts = each(msgs.filter(F.col("text").contains("##")), F.split("text", "##", -1), "body", "part")
     lines = parts.filter(F.col("part") % 2 == 1).select(
         "user", "turn", F.floor(F.col("part") / 2).cast("int").alias("table_no"),
         F.split(strip(F.col("body")), "\n", -1).alias("lines"))
@@ -115,10 +114,10 @@ def message_tables(msgs: DataFrame, strict: bool = True) -> DataFrame:
                           F.transform(data, cells).alias("rows")).filter(F.size("rows") > 0)
     if not strict:
         tables = tables.filter(F.array_max(F.transform("rows", F.size)) == F.size("headings"))
-    rows = tables.select("user", "turn", "table_no", "headings", F.posexplode("rows").alias("row_no", "cells"))
-    return rows.select("user", "turn", "table_no", "row_no", "headings", F.posexplode("cells").alias("column_no", "value")
-                       ).select("user", "turn", "table_no", "row_no", "column_no",
-                                F.get("headings", F.col("column_no")).alias("column_name"), "value")
+    rows = each(tables, F.col("rows"), "cells", "row_no")
+    return each(rows, F.col("cells"), "value", "column_no").select(
+        "user", "turn", "table_no", "row_no", "column_no",
+        F.get("headings", F.col("column_no")).alias("column_name"), "value")
 
 
 def result_pages(df: DataFrame, order: Sequence[str], size: int = 30) -> DataFrame:

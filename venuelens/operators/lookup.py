@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from venuelens.functions import text as T
 from venuelens.operators.skew import top_k
+from venuelens.session import shared_dir
 
 
 def vocabulary(issue: DataFrame, footfall: DataFrame, itemwise: DataFrame) -> DataFrame:
@@ -25,6 +26,12 @@ def vocabulary(issue: DataFrame, footfall: DataFrame, itemwise: DataFrame) -> Da
             .unionByName(lists(footfall, {"source": "source_of_booking", "status": "booking_status"})))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Checkpointed: the vocabulary costs a pass over whole tables, is small, and is used several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _rank(pairs: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     """Exact score of (term, tg, value, vg) pairs, the lists each value is in, and the best ``k``."""
     shared = F.size(F.array_intersect("tg", "vg"))
@@ -41,11 +48,11 @@ def value_lookup(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int
     only hot trigrams scores at most (hot trigrams of the term) / (its trigrams), so a term whose
     ``k``-th result beats that bound is done; the others are looked up again with all trigrams, the
     hot ones spread by salt. The result is the same as without the shortcut."""
+    vocab = kept(vocab)
     t = (terms.select("term").filter(F.col("term").isNotNull()).distinct()
          .withColumn("tg", T.trigrams(F.col("term"))))
     v = vocab.select("value").distinct().withColumn("vg", T.trigrams(F.col("value")))
-    t_index = t.select("term", "tg", F.explode("tg").alias("gram"))
-    v_index = v.select("value", "vg", F.explode("vg").alias("gram"))
+    t_index, v_index = T.each(t, F.col("tg"), "gram"), T.each(v, F.col("vg"), "gram")
     hot = v_index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_values)
     if hot.isEmpty():
         return _rank(t_index.join(v_index, "gram").select("term", "tg", "value", "vg").distinct(), vocab, k)
@@ -73,6 +80,7 @@ def value_lookup_lsh(terms: DataFrame, vocab: DataFrame, k: int = 8, tables: int
     """The same ranking over candidates that share a MinHash of their trigrams."""
     t = (terms.select("term").filter(F.col("term").isNotNull()).distinct()
          .withColumn("grams", T.trigrams(F.col("term"))))
+    vocab = kept(vocab)
     v = vocab.select("value").distinct().withColumn("grams", T.trigrams(F.col("value")))
     model = Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="features", numFeatures=n_features, binary=True),

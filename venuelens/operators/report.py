@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from venuelens.functions import clock
 from venuelens.functions.ratings import question_map, sub_rating
-from venuelens.functions.text import pieces
+from venuelens.functions.text import each, pieces
 from venuelens.operators.skew import numbered, top_k
 from venuelens.operators.summary import star_counts
 from venuelens.sources.tables import WEEKLY_REPORT
@@ -42,8 +42,7 @@ def match_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
     plain = wanted.filter(~special & (F.length("pattern") > 0))
     keyed = plain.withColumn("piece", F.substring(_fold(F.col("pattern")), 1, 3))
     folded = _fold(F.col("place_name"))
-    index = names.withColumn("piece", F.explode(F.array_distinct(
-        F.concat(*[pieces(folded, size) for size in (1, 2, 3)]))))
+    index = each(names, F.array_distinct(F.concat(*[pieces(folded, size) for size in (1, 2, 3)])), "piece")
     found = index.join(keyed, "piece").filter(hit).select("pattern", "place_name")
 
     regex = wanted.filter(special | (F.length("pattern") == 0))

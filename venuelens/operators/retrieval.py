@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuelens.functions.text import each
 from venuelens.operators.skew import top_k
 from venuelens.operators.themes import day_list
 
@@ -24,8 +25,7 @@ def request_cells(requests: DataFrame) -> DataFrame:
     """One row per request, rating and day it accepts; a range that ends before it starts gives none."""
     days = day_list(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
     ratings = F.array_distinct(F.transform(F.split("rating", ",", -1), lambda r: F.trim(r).try_cast("int")))
-    return (requests.withColumn("rating", F.explode(ratings)).filter(F.col("rating").isNotNull())
-            .withColumn("day", F.explode(days)))
+    return each(each(requests, ratings, "rating"), days, "day")
 
 
 def retrieval_filter(corpus: DataFrame, requests: DataFrame) -> DataFrame:

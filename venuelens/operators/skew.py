@@ -65,15 +65,14 @@ def with_carry(df: DataFrame, key: str, order: str, n: int, block: int,
     Only keys longer than one block pay for it."""
     blocked = (df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
                .withColumn("_carried", F.lit(False)))
-    long_keys = (df.groupBy(key).agg(F.max(order).alias("_max"), F.min(order).alias("_min"))
-                 .filter(F.floor(F.col("_max") / F.lit(block)) > F.floor(F.col("_min") / F.lit(block)))
-                 .select(key))
-    spread = blocked.join(long_keys, key, "left_semi")
-    usable = spread if relevant is None else spread.filter(relevant)
+    # one row per block of the keys with several; joins and windows below are on (key, block),
+    # never on the key alone, so that a long key stays spread
+    blocks = blocked.groupBy(key, "_block").agg(F.min(order).alias(order))
+    marks = (blocks.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(key)))
+             .filter(F.col("_blocks") > 1).drop("_blocks").withColumn("_mark", F.lit(True)))
+    long = blocked.join(marks.select(key, "_block"), [key, "_block"], "left_semi")
+    usable = long if relevant is None else long.filter(relevant)
     tails = top_k(usable, [key, "_block"], [F.col(order).desc()], n, "_rank").drop("_rank")
-    # one marker per block, so that blocks without relevant rows get their carry too
-    marks = (spread.groupBy(key, "_block").agg(F.min(order).alias(order))
-             .withColumn("_mark", F.lit(True)))
     line = tails.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
     # number the tail rows along the key; a marker stands before the rows of its own block
     so_far = (Window.partitionBy(key).orderBy("_block", F.col("_mark").desc(), order)

@@ -13,6 +13,7 @@ from venuelens.operators.skew import top_k
 
 NO_REVIEWS = "No reviews available."  # fixed value
 POLARITIES = ("positive", "negative")
+PIECES = 64
 
 
 def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
@@ -22,28 +23,31 @@ def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
     split = polarity_split(week).withColumn("is_pos", (F.col("polarity") == "positive").cast("int"))
     totals = split.groupBy("place_name").agg(F.sum("is_pos").alias("pos_docs"),
                                              F.sum(1 - F.col("is_pos")).alias("neg_docs"))
-    counts = (split.select("place_name", "is_pos", T.words(F.col("review_text")).alias("words"))
-              .select("place_name", "is_pos", F.explode(T.grams(F.col("words"), ngram)).alias("phrase"))
+    worded = split.select("place_name", "is_pos", T.words(F.col("review_text")).alias("words"))
+    counts = (T.each(worded, T.grams(F.col("words"), ngram), "phrase")
               .groupBy("place_name", "phrase").agg(F.sum("is_pos").alias("pos"),
                                                    F.sum(1 - F.col("is_pos")).alias("neg")))
     share = lambda c, total: (F.col(c) + 1) / (F.col(total) + 2)
     score = F.round(F.log(share("pos", "pos_docs") / share("neg", "neg_docs")), 6)
     side = F.when(F.col("score") > 0, "positive").when(F.col("score") < 0, "negative")
-    # one row per place on the other side: small unless there are very many places
-    scored = (counts.join(totals, "place_name").withColumn("score", score)
+    # a place may hold a large share of the phrases: join and rank it in pieces, then once more
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(PIECES)).cast("int")
+    totals = totals.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    scored = (counts.withColumn("piece", salt).join(totals, ["place_name", "piece"]).withColumn("score", score)
               .withColumn("polarity", side).filter(F.col("polarity").isNotNull())
-              .select("place_name", "polarity", "phrase", F.abs("score").alias("weight"),
+              .select("place_name", "piece", "polarity", "phrase", F.abs("score").alias("weight"),
                       F.when(F.col("polarity") == "positive", F.col("pos")).otherwise(F.col("neg")).alias("reviews")))
-    return top_k(scored, ["place_name", "polarity"],
-                 [F.col("weight").desc(), F.col("reviews").desc(), F.col("phrase")], n)
+    order = [F.col("weight").desc(), F.col("reviews").desc(), F.col("phrase")]
+    best = top_k(scored, ["place_name", "polarity", "piece"], order, n).drop("piece", "rank")
+    return top_k(best, ["place_name", "polarity"], order, n)
 
 
 def sentences(rows: DataFrame) -> DataFrame:
     """Sentences of the review texts; equal ones of a place and polarity become one row,
     placed where the first of them stood."""
     pieces = F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip)
-    each = rows.select("place_name", "polarity", "review_datetime_utc", "review_id",
-                       F.posexplode(pieces).alias("pos", "sentence")).filter(F.col("sentence") != "")
+    each = T.each(rows.select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text"),
+                  pieces, "sentence", "pos").filter(F.col("sentence") != "")
     return (each.groupBy("place_name", "polarity", "sentence")
             .agg(F.min(F.struct("review_datetime_utc", "review_id", "pos")).alias("place_in_text")))
 
@@ -54,8 +58,7 @@ def review_digest(week: DataFrame, max_words: int = 200, n: int = 20, ngram: int
     phrases = key_phrases(week, n, ngram).select("place_name", "polarity", "phrase", "weight")
     lines = sentences(rows).withColumn("n_words", F.size(F.filter(
         F.split("sentence", r"\s+", -1), lambda w: w != ""))).filter(F.col("n_words") <= max_words)
-    hits = (lines.withColumn("words", T.words(F.col("sentence")))
-            .withColumn("phrase", F.explode(T.grams(F.col("words"), ngram))))
+    hits = T.each(lines.withColumn("words", T.words(F.col("sentence"))), T.grams(F.col("words"), ngram), "phrase")
     scored = (hits.join(phrases, ["place_name", "polarity", "phrase"])
               .groupBy("place_name", "polarity", "sentence", "n_words", "place_in_text")
               .agg(F.round(F.sum("weight"), 6).alias("score")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelens.operators import chat, ingest, lookup, report, retrieval, sales, summary, themes
-from venuelens.session import fresh_path
+from venuelens.session import fresh_path, spread
 from venuelens.sources import tables as tb
 from venuelens.sources import views as v
 from venuelens.streaming import jobs
@@ -413,7 +413,7 @@ def answer_context(s, d):
 
 @query
 def text_vectors(s, d):
-    made = retrieval.text_vectors(v.table(s, d, "documents"))
+    made = retrieval.text_vectors(spread(v.table(s, d, "documents").select("doc_id", "text"), "doc_id"))
     flat = F.unwrap_udt("features")
     return made.select("doc_id", flat["indices"].alias("indices"), flat["values"].alias("weights"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venuelens.session import spread
+
 PLACE_IDS = ["click", "error", "purchase", "signup", "view"]
 MONEY = "decimal(18,2)"
 QTY = "decimal(18,3)"
@@ -50,8 +52,8 @@ def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """``text=False`` leaves out the document join for jobs that do not read the text."""
     events = table(spark, sf_dir, "events")
     if text:
-        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text")
-        events = events.join(docs, "event_id", "left")
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+        events = events.join(docs.withColumnRenamed("doc_id", "event_id"), "event_id", "left")
     return shape_reviews(events)
 
 
@@ -114,11 +116,16 @@ CATEGORIES = {"food": "ECONOMY", "liquor": "SMALL", "soft_drinks": "MEDIUM",
 
 
 def sales_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    """One row per order. The order columns are grouping keys, so that a period filter
+    moves below the aggregate and only the period's lines are joined and summed."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    lines = (table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+             .select(F.col("l_orderkey").alias("o_orderkey"), "p_type", "l_extendedprice"))
+    order_cols = ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]
     amount = F.col("l_extendedprice").cast(MONEY)
-    split = (li.join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        *[F.sum(F.when(F.col("p_type") == t, amount)).cast(MONEY).alias(c) for c, t in CATEGORIES.items()]))
+    bills = (table(spark, sf_dir, "orders").select(*order_cols).join(lines, "o_orderkey", "left")
+             .groupBy(*order_cols).agg(
+                 *[F.sum(F.when(F.col("p_type") == t, amount)).cast(MONEY).alias(c) for c, t in CATEGORIES.items()]))
     zero = F.lit(0).cast(MONEY)
     gross = F.col("o_totalprice").cast(MONEY)
     paid = F.col("o_orderkey") % 3
@@ -126,7 +133,7 @@ def sales_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pay(i: int) -> Column:
         return F.when(paid == i, gross).otherwise(zero)
 
-    return table(spark, sf_dir, "orders").join(split, "o_orderkey", "left").select(
+    return bills.select(
         F.col("o_orderdate").cast("date").alias("bill_date"), F.col("o_orderkey").alias("bill_number"),
         (F.col("o_custkey") % 40).cast("int").alias("table_number"),
         (F.lit(1) + F.col("o_orderkey") % 6).cast("int").alias("pax"), gross.alias("gross_amount"),
