@@ -23,7 +23,7 @@ def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, (decimal.Decimal, float, int)) and not isinstance(value, bool):
-        return repr(round(float(value), 6))
+        return repr(round(float(value), 9))
     if isinstance(value, (dt.date, dt.datetime)):
         return str(value)
     return str(value)

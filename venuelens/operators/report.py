@@ -144,17 +144,21 @@ def distribution_insights(dist: DataFrame) -> DataFrame:
 
 def trend_daily(week: DataFrame) -> DataFrame:
     """Seven days from each place's first day with a review. An empty day has total 0 and no mean;
-    total and mean count every rating given, the star columns only 1 to 5."""
+    total and mean count every rating given, the star columns only 1 to 5. ``week`` holds a week,
+    so a place's days fit one array, and the calendar is laid over it in the same pass."""
+    stars = [f"stars_{r}" for r in RATINGS]
     days = week.groupBy("place_name", "review_date").agg(
-        *_star_counts(), F.count("review_rating").alias("total"),
-        F.sum("review_rating").alias("rating_sum"))
-    spine = (days.groupBy("place_name").agg(F.min("review_date").alias("first_day"))
-             .select("place_name", F.explode(F.sequence(
-                 F.col("first_day"), F.date_add("first_day", 6))).alias("review_date")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return spine.join(days, ["place_name", "review_date"], "left").select(
-        "place_name", "review_date", *[zero(f"stars_{r}") for r in RATINGS], zero("total"),
-        F.round(F.try_divide(F.col("rating_sum"), F.col("total")), 4).alias("average_rating"))
+        *_star_counts(), F.count("review_rating").alias("total"), F.sum("review_rating").alias("rating_sum"))
+    packed = days.groupBy("place_name").agg(
+        F.min("review_date").alias("first_day"),
+        F.map_from_entries(F.collect_list(F.struct(
+            "review_date", F.struct(*stars, "total", "rating_sum")))).alias("by_day"))
+    laid = packed.select("place_name", "by_day", F.explode(F.sequence(
+        F.col("first_day"), F.date_add("first_day", 6))).alias("review_date"))
+    one = laid.withColumn("d", F.try_element_at("by_day", F.col("review_date")))
+    zero = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(0)).alias(c)
+    return one.select("place_name", "review_date", *[zero(c) for c in stars], zero("total"),
+                      F.round(F.try_divide(F.col("d.rating_sum"), F.col("d.total")), 4).alias("average_rating"))
 
 
 def trend_extremes(trend: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFram
 
 def _with_content(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     return hits.join(corpus.select("id", "page_content", "rating", "day"), "id").select(
-        "request_id", "rank", "id", "page_content", "rating", "day", F.round("score", 6).alias("score"))
+        "request_id", "rank", "id", "page_content", "rating", "day", "score")
 
 
 def cosine(a: str, b: str) -> Column:
@@ -144,7 +144,7 @@ def answer_context(hits: DataFrame) -> DataFrame:
     return hits.groupBy("request_id").agg(rows.alias("r")).select(
         "request_id", F.size("r").alias("hits"),
         F.array_join(F.transform("r", lambda x: F.coalesce(x["page_content"], F.lit(""))), "\n").alias("context"),
-        F.array_join(F.transform("r", lambda x: F.format_string("%.4f", x["score"])), ",").alias("scores"))
+        F.array_join(F.transform("r", lambda x: F.format_string(f"%.{SCORE_DIGITS}f", x["score"])), ",").alias("scores"))
 
 
 def text_model(docs: DataFrame, n_features: int):
@@ -176,5 +176,4 @@ def similar_questions(new: DataFrame, stored: DataFrame, k: int = 5, n_features:
     c = model.transform(unique).select("id", as_list.alias("vec"), one)
     hits = blocked_top_k(q, c, ["cell"], k, block_rows=10_000, block_queries=1_000)
     return hits.join(stored.withColumnRenamed("question_id", "id").withColumnRenamed("text", "example"), "id").select(
-        F.col("query_id").alias("question_id"), "rank", F.col("id").alias("example_id"), "example", "query",
-        F.round("score", 6).alias("score"))
+        F.col("query_id").alias("question_id"), "rank", F.col("id").alias("example_id"), "example", "query", "score")

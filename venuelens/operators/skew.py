@@ -70,6 +70,8 @@ def with_carry(df: DataFrame, key: str, order: str, n: int, block: int,
     blocks = blocked.groupBy(key, "_block").agg(F.min(order).alias(order))
     marks = (blocks.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(key)))
              .filter(F.col("_blocks") > 1).drop("_blocks").withColumn("_mark", F.lit(True)))
+    if marks.isEmpty():  # a count over two columns, against a second shuffle of whole messages
+        return blocked
     long = blocked.join(marks.select(key, "_block"), [key, "_block"], "left_semi")
     usable = long if relevant is None else long.filter(relevant)
     tails = top_k(usable, [key, "_block"], [F.col(order).desc()], n, "_rank").drop("_rank")

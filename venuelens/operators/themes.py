@@ -55,16 +55,23 @@ def sentences(rows: DataFrame) -> DataFrame:
 def review_digest(week: DataFrame, max_words: int = 200, n: int = 20, ngram: int = 2) -> DataFrame:
     """The heaviest sentences per place and polarity, up to ``max_words`` words in all."""
     rows = polarity_split(week)
-    phrases = key_phrases(week, n, ngram).select("place_name", "polarity", "phrase", "weight")
+    # at most n phrases per place and polarity travel as one array; sentences meet it in pieces
+    weights = (key_phrases(week, n, ngram).groupBy("place_name", "polarity")
+               .agg(F.collect_list(F.struct("phrase", "weight")).alias("phrases"))
+               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))))
     lines = sentences(rows).withColumn("n_words", F.size(F.filter(
         F.split("sentence", r"\s+", -1), lambda w: w != ""))).filter(F.col("n_words") <= max_words)
-    hits = T.each(lines.withColumn("words", T.words(F.col("sentence"))), T.grams(F.col("words"), ngram), "phrase")
-    scored = (hits.join(phrases, ["place_name", "polarity", "phrase"])
-              .groupBy("place_name", "polarity", "sentence", "n_words", "place_in_text")
-              .agg(F.round(F.sum("weight"), 6).alias("score")))
+    worded = (lines.withColumn("grams", T.words(F.col("sentence"))).withColumn("grams", T.grams(F.col("grams"), ngram))
+              .withColumn("piece", F.pmod(F.xxhash64("sentence"), F.lit(PIECES)).cast("int")))
+    met = F.filter("phrases", lambda p: F.array_contains("grams", p["phrase"]))
+    scored = (worded.join(weights, ["place_name", "polarity", "piece"])
+              .withColumn("score", F.round(F.aggregate(met, F.lit(0.0), lambda s, p: s + p["weight"]), 6))
+              .filter(F.col("score") > 0)
+              .select("place_name", "polarity", "piece", "sentence", "n_words", "place_in_text", "score"))
+    order = [F.col("score").desc(), F.col("place_in_text"), F.col("sentence")]
     # a chosen sentence has a word or more, so the first max_words sentences decide
-    best = top_k(scored, ["place_name", "polarity"],
-                 [F.col("score").desc(), F.col("place_in_text"), F.col("sentence")], max_words)
+    best = top_k(scored, ["place_name", "polarity", "piece"], order, max_words).drop("rank", "piece")
+    best = top_k(best, ["place_name", "polarity"], order, max_words)
     so_far = (Window.partitionBy("place_name", "polarity").orderBy("rank")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = best.withColumn("run", F.sum("n_words").over(so_far)).filter(F.col("run") <= max_words)

@@ -156,7 +156,7 @@ REQUESTS = """req AS (SELECT vec_id AS request_id, 'what about ' || vec_id AS qu
 KNN = VECTORS + ", " + REQUESTS + """, scored AS (SELECT request_id, id, page_content, rating, day,
     round(list_cosine_similarity(qvec::DOUBLE[], embedding::DOUBLE[]), 9) AS s
   FROM req JOIN vec ON rating IN (r1, r2) AND day BETWEEN d0 AND d1),
- knn AS (SELECT request_id, CAST(n AS INTEGER) AS rank, id, page_content, rating, day, round(s, 6) AS score FROM
+ knn AS (SELECT request_id, CAST(n AS INTEGER) AS rank, id, page_content, rating, day, s AS score FROM
   (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS n FROM scored) WHERE n <= 10)"""
 
 MESSAGES = """msg AS (SELECT CAST(conv_id AS VARCHAR) AS "user", turn, role, CASE
@@ -511,7 +511,7 @@ def oracle_sql() -> dict[str, str]:
       (SELECT *, row_number() OVER (PARTITION BY term ORDER BY j DESC, distance, value, kind) AS n FROM scored) WHERE n <= 8"""
     out["knn_filtered"] = w + KNN + " SELECT * FROM knn"
     out["answer_context"] = w + KNN + """ SELECT request_id, CAST(count(*) AS INTEGER) AS hits, string_agg(coalesce(page_content, ''), chr(10) ORDER BY rank) AS context,
-      string_agg(printf('%.4f', round(score, 4)), ',' ORDER BY rank) AS scores FROM knn GROUP BY 1"""
+      string_agg(printf('%.9f', score), ',' ORDER BY rank) AS scores FROM knn GROUP BY 1"""
 
     # chat
     out["chat_routing"] = w + ROUTED + " SELECT * FROM routed"
