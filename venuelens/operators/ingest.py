@@ -37,10 +37,10 @@ def insert_new(batch: DataFrame, existing: DataFrame, key: str = "review_id",
     """Rows of the batch that are new: the first arrival per key, keys not stored yet, and every
     row without a key (which equals nothing). Keyless rows skip the join, so they do not
     gather in one task; stored keys are made distinct map-side before it."""
-    first = first_per_key(batch, key, order)
-    stored = existing.filter(F.col(key).isNotNull()).select(key).distinct()
-    keyed = first.filter(F.col(key).isNotNull()).join(stored, key, "left_anti").select(*batch.columns)
-    fresh = keyed.unionByName(first.filter(F.col(key).isNull()))
+    known = F.col(key).isNotNull()
+    stored = existing.filter(known).select(key).distinct()
+    keyed = first_per_key(batch.filter(known), key, order).join(stored, key, "left_anti")
+    fresh = keyed.select(*batch.columns).unionByName(batch.filter(~known))
     return (fresh.withColumn("review_questions", normalise_questions(F.col("review_questions")))
             .withColumn("author_reviews_count", F.coalesce("author_reviews_count", F.lit(0)))
             .withColumn("author_ratings_count", F.coalesce("author_ratings_count", F.lit(0))))

@@ -19,13 +19,9 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the lowest ``order`` per key, by a partial aggregate: copies of a hot
-    key collapse before the shuffle. Rows with a null key are all kept."""
-    others = [c for c in df.columns if c not in (key, order)]
-    row = F.struct(order, *others)
-    firsts = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("_row"))
-              .select(key, "_row.*").select(*df.columns))
-    return firsts.unionByName(df.filter(F.col(key).isNull()))
+    """The row with the lowest ``order`` per key; copies of a hot key are dropped before the shuffle.
+    The key must not be null: rows without one are no copies of each other."""
+    return top_k(df, [key], [F.col(order)], 1, "_first").drop("_first")
 
 
 def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),

@@ -53,7 +53,7 @@ def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     events = table(spark, sf_dir, "events")
     if text:
         docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-        events = events.join(docs.withColumnRenamed("doc_id", "event_id"), "event_id", "left")
+        events = spread(events, "event_id").join(docs.withColumnRenamed("doc_id", "event_id"), "event_id", "left")
     return shape_reviews(events)
 
 
@@ -70,13 +70,14 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed(shaped: DataFrame) -> DataFrame:
-    base = (shaped
-            .withColumn("arrival", F.col("review_id").cast("bigint"))
-            .withColumn("review_id", F.when(F.col("arrival") % 97 != 0, F.col("review_id"))))
-    again = (base.filter(F.col("author_reviews_count") % 7 == 3)
-             .withColumn("arrival", F.col("arrival") + F.lit(1_000_000_000_000))
-             .withColumn("review_text", F.lit("sent again")))
-    return base.unionByName(again)
+    """Arrival order added; some rows come a second time with another text, some have no id."""
+    times = F.when(F.col("author_reviews_count") % 7 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    number = F.col("review_id").cast("bigint")
+    return (shaped.withColumn("copy", F.explode(times))
+            .withColumn("arrival", number + F.col("copy") * F.lit(1_000_000_000_000))
+            .withColumn("review_id", F.when(number % 97 != 0, F.col("review_id")))
+            .withColumn("review_text", F.when(F.col("copy") == 1, F.lit("sent again")).otherwise(F.col("review_text")))
+            .drop("copy"))
 
 
 def place_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
