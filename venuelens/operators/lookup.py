@@ -33,14 +33,19 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def _rank(pairs: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
-    """Exact score of (term, tg, value, vg) pairs, the lists each value is in, and the best ``k``."""
-    shared = F.size(F.array_intersect("tg", "vg"))
-    scored = pairs.select("term", "value", (shared / (F.size("tg") + F.size("vg") - shared)).alias("jaccard"),
+    """Exact score of (term, value, shared, tn, vn) pairs, the lists each value is in, and the best ``k``."""
+    scored = pairs.select("term", "value", (F.col("shared") / (F.col("tn") + F.col("vn") - F.col("shared"))).alias("jaccard"),
                           F.levenshtein(F.lower("term"), F.lower("value")).alias("distance"))
     return top_k(scored.join(vocab, "value"), ["term"],
                  [F.col("jaccard").desc(), F.col("distance"), F.col("value"), F.col("kind")], k)
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Sizes and overlap of the trigram lists of (term, tg, value, vg) pairs."""
+    return pairs.select("term", "value", F.size(F.array_intersect("tg", "vg")).alias("shared"),
+                        F.size("tg").alias("tn"), F.size("vg").alias("vn"))
+
+
 def value_lookup(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int = 1000) -> DataFrame:
     """The ``k`` vocabulary rows spelt most like each term, among those sharing a trigram.
 
@@ -55,12 +60,16 @@ def value_lookup(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int
     t_index, v_index = T.each(t, F.col("tg"), "gram"), T.each(v, F.col("vg"), "gram")
     hot = v_index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_values)
     if hot.isEmpty():
-        return _rank(t_index.join(v_index, "gram").select("term", "tg", "value", "vg").distinct(), vocab, k)
+        # every shared trigram gives one joined row, so their count is the overlap
+        counted = (t_index.select("term", F.size("tg").alias("tn"), "gram")
+                   .join(v_index.select("value", F.size("vg").alias("vn"), "gram"), "gram")
+                   .groupBy("term", "value", "tn", "vn").agg(F.count(F.lit(1)).alias("shared")))
+        return _rank(counted, vocab, k)
 
     hot = hot.select("gram", F.ceil(F.col("n") / hot_values).cast("int").alias("salts"))
     rare = (t_index.join(hot, "gram", "left_anti").join(v_index, "gram")
             .select("term", "tg", "value", "vg").distinct())
-    first = _rank(rare, vocab, k)
+    first = _rank(_compared(rare), vocab, k)
     bound = (t_index.join(hot.select("gram"), "gram", "left_semi").groupBy("term", "tg")
              .agg((F.count(F.lit(1)) / F.first(F.size("tg"))).alias("bound")))
     kth = first.filter(F.col("rank") == k).select("term", F.col("jaccard").alias("kth"))
@@ -72,7 +81,7 @@ def value_lookup(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int
         "salt", F.pmod(F.xxhash64("value"), F.col("salts")).cast("int"))
     by_hot = t_hot.join(v_hot.drop("salts"), ["gram", "salt"]).select("term", "tg", "value", "vg")
     again = rare.join(open_terms, "term", "left_semi").unionByName(by_hot).distinct()
-    return first.join(open_terms, "term", "left_anti").unionByName(_rank(again, vocab, k).select(*first.columns))
+    return first.join(open_terms, "term", "left_anti").unionByName(_rank(_compared(again), vocab, k).select(*first.columns))
 
 
 def value_lookup_lsh(terms: DataFrame, vocab: DataFrame, k: int = 8, tables: int = 32,
@@ -93,4 +102,4 @@ def value_lookup_lsh(terms: DataFrame, vocab: DataFrame, k: int = 8, tables: int
     pairs = (keys(t).withColumnRenamed("grams", "tg")
              .join(keys(v).withColumnRenamed("grams", "vg"), ["table", "mark"])
              .select("term", "tg", "value", "vg").distinct())
-    return _rank(pairs, vocab, k)
+    return _rank(_compared(pairs), vocab, k)

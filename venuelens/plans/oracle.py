@@ -283,7 +283,8 @@ def _insert_new() -> str:
     return RAW + f""", batch AS (SELECT {cols} FROM raw WHERE review_datetime_utc > {_ts(low)}),
  firsts AS (SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY arrival) AS n FROM batch)
    WHERE n = 1 OR review_id IS NULL)
-SELECT {cols} FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.review_id = f.review_id AND r.author_ratings_count = 5)"""
+SELECT {cols} FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.review_id = f.review_id
+  AND r.review_datetime_utc <= {_ts(AS_OF_TEXT - timedelta(hours=24))})"""
 
 
 FRESH = RAW + """, fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY arrival) AS n FROM feed)

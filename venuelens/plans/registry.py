@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venuelens.functions import clock
 from venuelens.operators import chat, ingest, lookup, report, retrieval, sales, summary, themes
 from venuelens.session import fresh_path, spread
 from venuelens.sources import tables as tb
@@ -54,7 +55,8 @@ def reviews_incremental(s, d):
 @query
 def reviews_insert_new(s, d):
     batch = ingest.fetch_since(v.raw_reviews(s, d), AS_OF_TEXT, hours=72)
-    stored = v.reviews(s, d, text=False).filter(F.col("author_ratings_count") == 5)
+    stored = v.reviews(s, d, text=False).filter(
+        F.col("review_datetime_utc") <= clock.ntz(AS_OF_TEXT - timedelta(hours=24)))
     return ingest.insert_new(batch, stored).drop("sentiment_score")
 
 

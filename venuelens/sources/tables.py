@@ -20,6 +20,7 @@ REPORT_COLUMNS = [
 SENT_SCHEMA = "place_name string, notification_type string, sent_date date"
 STATE_SCHEMA = "place_name string, report_type string, last_report_date date"
 VECTOR_SCHEMA = "id bigint, page_content string, rating int, day date, embedding array<float>"
+# The kinds stored in the log and the state table.
 DAILY_SUMMARY = "GoogleReviewsDailySummary"
 WEEKLY_REPORT = "customer_review_report_weekly"
 
