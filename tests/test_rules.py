@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuelens.functions import clock, text
+from venuelens.plans import registry
 from venuelens.operators import chat, ingest, report, retrieval, sales, summary, themes
 from venuelens.sources import tables as tb
 
@@ -189,6 +190,46 @@ def test_history_length(spark):
     assert chat.chat_latest_user(_messages(spark, "x", role="assistant")).first().latest_message == ""
 
 
+def test_history_holds_questions_and_their_answers_only(spark):
+    said = [("user", "Hi!"), ("assistant", "Hello, ask away"), ("user", " top items "), ("assistant", "Tea"), ("user", "👎"),
+            ("assistant", "What went wrong?"), ("user", "wrong year"), ("assistant", "Noted"), ("user", "👍"), ("assistant", "Thanks"),
+            ("assistant", "and more"), ("user", "sales?"), ("assistant", "12"), ("assistant", "13")]
+    df = spark.createDataFrame([("u", i, r, t) for i, (r, t) in enumerate(said)], "user string, turn long, role string, text string")
+    for block in (3, 10_000):
+        got = {r.turn: r.history for r in chat.chat_history(df, block=block).collect()}
+        assert sorted(got) == [2, 3, 11, 12, 13]
+        assert got[13] == "User: top items\nAI: Tea\nUser: sales?\nAI: 12\nAI: 13"
+        assert chat.chat_latest_user(df, block=block).first().latest_message == "sales?"
+    many = df.unionByName(spark.createDataFrame([("u", 20 + i, "assistant", "x") for i in range(7)], df.schema))
+    assert chat.chat_latest_user(many).first().latest_message == ""
+
+
+def test_served_places_get_no_summary_and_prompts_show_the_preview(spark):
+    sf = "/root/testdata/sf0.001"
+    sent = {r.place_name for r in registry.QUERIES["summary_messages"](spark, sf).select("place_name").collect()}
+    assert sent == {r.place_name for r in registry.QUERIES["summary_due"](spark, sf).collect()}
+    prompts = [r.prompt for r in registry.QUERIES["prompt_batch"](spark, sf).collect()]
+    assert any(p.endswith("wrote: NO REVIEW WRITTEN") for p in prompts) and not any("\n" in p for p in prompts)
+
+
+def test_means_are_rounded_once(spark):
+    at = dict(review_datetime_utc=datetime(2024, 1, 17))
+    five = [dict(review_id=str(i), review_rating=3 + (i < 79), **at) for i in range(229)] + [
+        dict(review_id="p", review_datetime_utc=datetime(2024, 1, 10))]  # 766 stars in the week, five the week before
+    df = reviews(spark, *five)
+    week = report.current_week(df, AS_OF)
+    text = report.report_text(report.distribution_insights(report.rating_distribution(week)),
+                              report.trend_extremes(report.trend_daily(week, digits=None)),
+                              report.week_comparison(df, AS_OF, digits=None)).first().comparison_text
+    assert "3.34" in text and "3.35" not in text
+
+
+def test_all_places_row_counts_reviews_without_a_place(spark):
+    df = reviews(spark, dict(review_id="1"), dict(review_id="2", place_name=None))
+    got = {r.place_name: r.total_reviews for r in report.dashboard_metrics(df).collect()}
+    assert got[None] == 2 and len(got) == 2
+
+
 TOTAL = "Sales: \n##| Week | Start | Sales |\n|---|---|---|\n| 1 | 01 | 5 |\n| Total | | 5 |\n##"
 
 
@@ -230,6 +271,9 @@ def test_digest(spark):
     week = report.current_week(df, AS_OF)
     got = {(r.place_name, r.polarity): r for r in themes.review_digest(week, max_words=4).collect()}
     assert got[("A", "positive")].digest == "Great tasty soup"
+    long = reviews(spark, dict(review_id="1", review_text="tasty broth " * 300, review_rating=5, **at))
+    cut = {r.polarity: r for r in themes.review_digest(report.current_week(long, AS_OF)).collect()}
+    assert cut["positive"].n_words == 200 and cut["positive"].digest.startswith("tasty broth tasty")
     for key in (("A", "negative"), ("B", "positive"), ("B", "negative")):
         assert got[key].digest == themes.NO_REVIEWS and got[key].n_words == 0
 

@@ -75,5 +75,5 @@ def test_chat_in_pieces_equals_batch(spark, tmp_path):
     want = {(r.user, r.turn): r.history for r in chat_history(seen).collect()}
     intents = {(r.user, r.turn): r.intent for r in chat_routing(seen).collect()}
     got = spark.read.parquet(f"{sink}/out").collect()
-    assert {(r.user, r.turn): r.history for r in got} == want
+    assert {(r.user, r.turn): r.history for r in got if r.history is not None} == want
     assert {(r.user, r.turn): r.intent for r in got if r.intent} == intents

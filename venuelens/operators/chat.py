@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens.functions.text import each, strip
-from venuelens.operators.skew import numbered, with_carry
+from venuelens.operators.skew import numbered, top_k, with_carry
 
 # Whole-message phrases, case ignored, closing marks allowed.
 GREETINGS = ("hello", "hi", "howdy", "hey")
@@ -66,23 +66,44 @@ def chat_intent_counts(routed: DataFrame, by: Sequence[str] = ("user",)) -> Data
     return routed.groupBy(*by, "intent").agg(F.count(F.lit(1)).alias("message_count"))
 
 
+def retained(msgs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The messages that a history may hold: the users' questions and the answers to them. Small talk, thumbs,
+    their details and the canned replies to these are left out, as are answers to nothing. A column ``asked``
+    of ``msgs``, where not null, says whether that user message was a question."""
+    routed = chat_routing(msgs, block=block).select(
+        "user", "turn", F.col("text").alias("said"), (F.col("intent") == "question").alias("_question"))
+    known = [F.col("asked")] if "asked" in msgs.columns else []
+    own = F.col("role") == "user"
+    talk = (msgs.filter(F.col("role").isin("user", "assistant")).join(routed, ["user", "turn"], "left")
+            .select("user", "turn", "role", F.coalesce(F.when(own, F.col("said")).otherwise(F.col("text")), F.lit("")).alias("text"),
+                    F.when(own, F.coalesce(*known, "_question")).alias("asked")))
+    rows = with_carry(talk, "user", "turn", n=1, block=block, relevant=own)
+    so_far = (Window.partitionBy("user", "_block").orderBy("turn", F.col("role").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    answered = F.coalesce(F.last("asked", ignorenulls=True).over(so_far), F.lit(False))
+    return rows.withColumn("asked", answered).filter(F.col("asked") & ~F.col("_carried")).select("user", "turn", "role", "text")
+
+
 def chat_history(msgs: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:
-    """Per user or AI message, the last ``n`` messages up to and with it as one text."""
-    line = (F.when(F.col("role") == "user", F.concat(F.lit("User: "), F.coalesce("text", F.lit(""))))
-            .otherwise(F.concat(F.lit("AI: "), F.coalesce("text", F.lit("")))))
-    spoken = msgs.filter(F.col("role").isin("user", "assistant")).select("user", "turn", line.alias("line"))
-    rows = with_carry(spoken, "user", "turn", n=n - 1, block=block)
+    """Per retained message, the last ``n`` of them up to and with it as one text."""
+    return history_of(retained(msgs, block), n, block)
+
+
+def history_of(kept: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("AI: "), "text")
+    rows = with_carry(kept.select("user", "turn", line.alias("line")), "user", "turn", n=n - 1, block=block)
     frame = Window.partitionBy("user", "_block").orderBy("turn").rowsBetween(-(n - 1), Window.currentRow)
     lines = F.collect_list("line").over(frame)
     return (rows.withColumn("history", F.array_join(lines, "\n")).withColumn("messages", F.size(lines))
             .filter(~F.col("_carried")).select("user", "turn", "messages", "history"))
 
 
-def chat_latest_user(msgs: DataFrame) -> DataFrame:
-    """Each user's newest own message, empty when there is none."""
-    own = F.col("role") == "user"
-    return msgs.groupBy("user").agg(F.coalesce(
-        F.max(F.when(own, F.struct("turn", "text")))["text"], F.lit("")).alias("latest_message"))
+def chat_latest_user(msgs: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:
+    """Each user's newest question among the last ``n`` retained messages, empty when there is none."""
+    last = top_k(retained(msgs, block), ["user"], [F.col("turn").desc()], n)
+    newest = last.filter(F.col("role") == "user").groupBy("user").agg(F.max(F.struct("turn", "text"))["text"].alias("latest_message"))
+    return msgs.select("user").distinct().join(newest, "user", "left").select(
+        "user", F.coalesce("latest_message", F.lit("")).alias("latest_message"))
 
 
 def message_descriptions(msgs: DataFrame) -> DataFrame:

@@ -36,10 +36,11 @@ def insert_new(batch: DataFrame, existing: DataFrame, key: str = "review_id",
                order: str = "arrival") -> DataFrame:
     """Rows of the batch that are new: the first arrival per key, keys not stored yet, and every
     row without a key (which equals nothing). Keyless rows skip the join, so they do not
-    gather in one task; stored keys are made distinct map-side before it."""
+    gather in one task; of the stored keys only those of the batch go on."""
     known = F.col(key).isNotNull()
-    stored = existing.filter(known).select(key).distinct()
-    keyed = first_per_key(batch.filter(known), key, order).join(stored, key, "left_anti")
+    first = first_per_key(batch.filter(known), key, order)
+    stored = existing.select(key).join(first.select(key), key, "left_semi").distinct()
+    keyed = first.join(stored, key, "left_anti")
     fresh = keyed.select(*batch.columns).unionByName(batch.filter(~known))
     return (fresh.withColumn("review_questions", normalise_questions(F.col("review_questions")))
             .withColumn("author_reviews_count", F.coalesce("author_reviews_count", F.lit(0)))

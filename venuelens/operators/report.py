@@ -142,7 +142,11 @@ def distribution_insights(dist: DataFrame) -> DataFrame:
         share(c[0] + c[1]).alias("low_percent"))
 
 
-def trend_daily(week: DataFrame) -> DataFrame:
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def trend_daily(week: DataFrame, digits: int | None = 4) -> DataFrame:
     """Seven days from each place's first day with a review. An empty day has total 0 and no mean;
     total and mean count every rating given, the star columns only 1 to 5. ``week`` holds a week,
     so a place's days fit one array, and the calendar is laid over it in the same pass."""
@@ -158,7 +162,7 @@ def trend_daily(week: DataFrame) -> DataFrame:
     one = laid.withColumn("d", F.try_element_at("by_day", F.col("review_date")))
     zero = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(0)).alias(c)
     return one.select("place_name", "review_date", *[zero(c) for c in stars], zero("total"),
-                      F.round(F.try_divide(F.col("d.rating_sum"), F.col("d.total")), 4).alias("average_rating"))
+                      _rounded(F.try_divide(F.col("d.rating_sum"), F.col("d.total")), digits).alias("average_rating"))
 
 
 def trend_extremes(trend: DataFrame) -> DataFrame:
@@ -192,8 +196,8 @@ def _comparison(reviews: DataFrame, as_of: datetime, with_history: bool) -> Data
     return rows.groupBy("place_name").agg(*aggs)
 
 
-def week_comparison(reviews: DataFrame, as_of: datetime) -> DataFrame:
-    """Both weeks side by side in one pass. A missing mean compares as the same."""
+def week_comparison(reviews: DataFrame, as_of: datetime, digits: int | None = 4) -> DataFrame:
+    """Both weeks side by side in one pass. A missing mean compares as the same; without ``digits`` means are raw."""
     raw = _comparison(reviews, as_of, with_history=False)
     count_move = _move(F.col("current_count"), F.col("previous_count"), "up", "down")
     mean_move = _move(F.col("current_average"), F.col("previous_average"), "up", "down")
@@ -203,8 +207,8 @@ def week_comparison(reviews: DataFrame, as_of: datetime) -> DataFrame:
                        ("up", "down", "more reviews, lower rating"), ("down", "up", "fewer reviews, higher rating")):
         verdict = F.when((F.col("count_change") == c) & (F.col("average_change") == m), text).otherwise(verdict)
     return both.select(
-        "place_name", "previous_count", "current_count", F.round("previous_average", 4).alias("previous_average"),
-        F.round("current_average", 4).alias("current_average"), "count_change", "average_change",
+        "place_name", "previous_count", "current_count", _rounded(F.col("previous_average"), digits).alias("previous_average"),
+        _rounded(F.col("current_average"), digits).alias("current_average"), "count_change", "average_change",
         verdict.alias("verdict"))
 
 
@@ -255,11 +259,11 @@ def report_due(places: DataFrame, state: DataFrame, as_of: datetime, report_type
 
 
 def dashboard_metrics(reviews: DataFrame) -> DataFrame:
-    """Count, mean and stars per place and, with a null place, over all places."""
-    known = reviews.filter(F.col("place_name").isNotNull())
-    return known.rollup("place_name").agg(
-        F.count(F.lit(1)).alias("total_reviews"), F.round(F.avg("review_rating"), 4).alias("average_rating"),
-        *star_counts())
+    """Count, mean and stars per place and, with a null place, over all reviews, those without a place included."""
+    return reviews.rollup("place_name").agg(
+        F.grouping("place_name").alias("_all"), F.count(F.lit(1)).alias("total_reviews"),
+        F.round(F.avg("review_rating"), 4).alias("average_rating"), *star_counts()).filter(
+        (F.col("_all") == 1) | F.col("place_name").isNotNull()).drop("_all")
 
 
 # --- wording ---
@@ -308,7 +312,8 @@ def _pick(key: Column, texts: dict[str, Column]) -> Column:
 
 
 def report_text(insights: DataFrame, extremes: DataFrame, comparison: DataFrame) -> DataFrame:
-    """The three paragraphs per place, for places with reviews in the current week."""
+    """The three paragraphs per place, for places with reviews in the current week. Means are rounded here only, so
+    the extremes and the comparison should carry raw ones (``digits=None``)."""
     c = F.col
     dist = F.format_string(DISTRIBUTION_TEXT, c("place_name"), c("most_common_rating"), c("most_common_count"),
                            c("total_reviews"), c("high_percent"), c("low_percent"))

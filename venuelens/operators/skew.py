@@ -57,8 +57,7 @@ def with_carry(df: DataFrame, key: str, order: str, n: int, block: int,
     """Adds ``_block`` and ``_carried``. Rows are cut into blocks of ``block`` consecutive
     ``order`` values, and each block that has a predecessor also gets copies of the last ``n``
     (relevant) rows before it, marked ``_carried``. A window over (key, _block) then
-    sees what it would see over the key alone, while no task holds more than a block.
-    Only keys longer than one block pay for it."""
+    sees what it would see over the key alone, while no task holds more than a block."""
     blocked = (df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
                .withColumn("_carried", F.lit(False)))
     # one row per block of the keys with several; joins and windows below are on (key, block),
@@ -66,8 +65,6 @@ def with_carry(df: DataFrame, key: str, order: str, n: int, block: int,
     blocks = blocked.groupBy(key, "_block").agg(F.min(order).alias(order))
     marks = (blocks.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(key)))
              .filter(F.col("_blocks") > 1).drop("_blocks").withColumn("_mark", F.lit(True)))
-    if marks.isEmpty():  # a count over two columns, against a second shuffle of whole messages
-        return blocked
     long = blocked.join(marks.select(key, "_block"), [key, "_block"], "left_semi")
     usable = long if relevant is None else long.filter(relevant)
     tails = top_k(usable, [key, "_block"], [F.col(order).desc()], n, "_rank").drop("_rank")

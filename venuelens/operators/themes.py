@@ -42,10 +42,14 @@ def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
     return top_k(best, ["place_name", "polarity"], order, n)
 
 
-def sentences(rows: DataFrame) -> DataFrame:
-    """Sentences of the review texts; equal ones of a place and polarity become one row,
+def sentences(rows: DataFrame, max_words: int) -> DataFrame:
+    """Sentences of the review texts; a run of more than ``max_words`` words is cut into pieces of so many. Equal ones of a place and polarity become one row,
     placed where the first of them stood."""
-    pieces = F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip)
+    found = F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip)
+    words = lambda s: F.filter(F.split(s, r"\s+", -1), lambda w: w != "")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(max_words)),
+                                lambda i: F.array_join(F.slice(w, i, F.lit(max_words)), " "))
+    pieces = F.flatten(F.transform(found, lambda s: F.when(F.size(words(s)) > max_words, cut(words(s))).otherwise(F.array(s))))
     each = T.each(rows.select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text"),
                   pieces, "sentence", "pos").filter(F.col("sentence") != "")
     return (each.groupBy("place_name", "polarity", "sentence")
@@ -59,8 +63,8 @@ def review_digest(week: DataFrame, max_words: int = 200, n: int = 20, ngram: int
     weights = (key_phrases(week, n, ngram).groupBy("place_name", "polarity")
                .agg(F.collect_list(F.struct("phrase", "weight")).alias("phrases"))
                .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))))
-    lines = sentences(rows).withColumn("n_words", F.size(F.filter(
-        F.split("sentence", r"\s+", -1), lambda w: w != ""))).filter(F.col("n_words") <= max_words)
+    lines = sentences(rows, max_words).withColumn("n_words", F.size(F.filter(
+        F.split("sentence", r"\s+", -1), lambda w: w != "")))
     worded = (lines.withColumn("grams", T.words(F.col("sentence"))).withColumn("grams", T.grams(F.col("grams"), ngram))
               .withColumn("piece", F.pmod(F.xxhash64("sentence"), F.lit(PIECES)).cast("int")))
     met = F.filter("phrases", lambda p: F.array_contains("grams", p["phrase"]))

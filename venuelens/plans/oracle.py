@@ -6,6 +6,7 @@ with the Spark jobs.
 
 from __future__ import annotations
 
+import re
 from datetime import timedelta
 
 from venuelens.functions.clock import daily_bounds, week_bounds
@@ -189,7 +190,12 @@ ROUTED = MESSAGES + f""", said AS (SELECT "user", turn, {_strip('text')} AS text
  routed AS (SELECT "user", turn, text, faq AS intent FROM faq WHERE faq IS NOT NULL UNION ALL
   SELECT "user", turn, text, CASE WHEN text = '👎' THEN 'feedback_down' WHEN was_down THEN 'feedback_detail'
    WHEN text = '👍' THEN 'feedback_up' ELSE 'question' END FROM heavy)"""
-HISTORY = """spoken AS (SELECT "user", turn, (CASE role WHEN 'user' THEN 'User: ' ELSE 'AI: ' END) || text AS line FROM msg WHERE role IN ('user', 'assistant')),
+HISTORY = """asked AS (SELECT m."user", m.turn, m.role, coalesce(r.text, m.text, '') AS text,
+   CASE WHEN m.role = 'user' THEN r.intent = 'question' END AS q
+  FROM msg m LEFT JOIN routed r ON m.role = 'user' AND r."user" = m."user" AND r.turn = m.turn WHERE m.role IN ('user', 'assistant')),
+ kept AS (SELECT * FROM (SELECT *, last_value(q IGNORE NULLS) OVER (PARTITION BY "user" ORDER BY turn
+   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS answered FROM asked) WHERE answered),
+ spoken AS (SELECT "user", turn, (CASE role WHEN 'user' THEN 'User: ' ELSE 'AI: ' END) || text AS line FROM kept),
  history AS (SELECT "user", turn, CAST(len(l) AS INTEGER) AS messages, array_to_string(l, chr(10)) AS history FROM
   (SELECT "user", turn, list(line) OVER (PARTITION BY "user" ORDER BY turn ROWS 6 PRECEDING) AS l FROM spoken))"""
 
@@ -384,9 +390,9 @@ def oracle_sql() -> dict[str, str]:
     out["summary_due"] = w + f"{PLACES}, {SENT} SELECT place_name FROM places WHERE place_name NOT IN (SELECT place_name FROM sent)"
     label = f"{AS_OF - timedelta(days=1):%d %b %Y}"
     fields = ", ".join(f"'{i}': coalesce(CAST({n}_star_reviews AS VARCHAR), 'None')" for i, n in enumerate(NAMED.values(), start=5))
-    out["summary_messages"] = w + REVIEWS + f""", {PLACES}, {PHONES}, {DAILY} SELECT place_name, phone, to_json({{'1': place_name, '2': '{label}',
+    out["summary_messages"] = w + REVIEWS + f""", {PLACES}, {SENT}, {PHONES}, {DAILY} SELECT place_name, phone, to_json({{'1': place_name, '2': '{label}',
       '3': CAST(total_reviews AS VARCHAR), '4': CASE WHEN average_rating = 0 THEN '0' ELSE CAST(average_rating AS VARCHAR) END, {fields}}})::VARCHAR AS variables
-      FROM daily JOIN phones USING (place_name)"""
+      FROM daily JOIN phones USING (place_name) WHERE place_name NOT IN (SELECT place_name FROM sent)"""
 
     # weekly report
     out["place_reviews_theta"] = w + REVIEWS + f""", {PLACES}, patterns AS (SELECT DISTINCT unnest([upper(place_name),
@@ -428,7 +434,8 @@ def oracle_sql() -> dict[str, str]:
     pa, ca = _fixed("previous_average", 2), _fixed("current_average", 2)
     n_text = {m: _fmt(t, "previous_count", *([] if m == "same" else ["current_count"])) for m, t in report_ops.COUNT_TEXT.items()}
     a_text = {m: _fmt(t, pa, *([] if m == "same" else [ca])) for m, t in report_ops.AVERAGE_TEXT.items()}
-    out["report_text"] = w + WEEK + f""", {DIST}, {INSIGHT}, {TREND}, {EXTREMES}, {COMPARE}
+    raw = lambda part: re.sub(r"round\(((?:[^()]|\([^()]*\))*), 4\)", r"\1", part)  # the wording rounds raw means
+    out["report_text"] = w + WEEK + f""", {DIST}, {INSIGHT}, {raw(TREND)}, {EXTREMES}, {raw(COMPARE)}
       SELECT place_name, {dist_text} AS distribution_text, {trend_text} AS trend_text,
       {_fmt(report_ops.COMPARISON_HEAD, 'place_name')} || {pick('count_change', n_text)} || {pick('average_change', a_text)} || {pick('verdict', WORDING)} AS comparison_text
       FROM insight JOIN extremes USING (place_name) JOIN comparison USING (place_name)"""
@@ -498,7 +505,8 @@ def oracle_sql() -> dict[str, str]:
       LEFT JOIN made m ON m.place_name = s.place_name AND m.polarity = s.polarity"""
     out["prompt_batch"] = w + REVIEWS + (
         " SELECT review_id, 'Reply kindly to ' || coalesce(author_title, '') || ', who gave ' || review_rating || ' stars and wrote: ' "
-        f"|| coalesce(review_text, '') AS prompt FROM reviews WHERE {ALERT}")
+        f"|| CASE WHEN coalesce(review_text, '') = '' THEN 'NO REVIEW WRITTEN' ELSE translate(substr(review_text, 1, 200), chr(10) || chr(13), '  ') END "
+        f"AS prompt FROM reviews WHERE {ALERT}")
     out["request_parse"] = w + REQUESTS + """ SELECT request_id, CASE WHEN d1 >= d0 THEN question END AS question,
       CASE WHEN d1 >= d0 THEN r1 || ',' || r2 END AS ratings, CASE WHEN d1 >= d0 THEN array_to_string(list_transform(
         generate_series(d0::TIMESTAMP, d1::TIMESTAMP, INTERVAL 1 DAY), lambda x: strftime(x, '%d-%m-%Y')), ',') END AS dates FROM req"""
@@ -517,8 +525,10 @@ def oracle_sql() -> dict[str, str]:
     # chat
     out["chat_routing"] = w + ROUTED + " SELECT * FROM routed"
     out["chat_intent_counts"] = w + ROUTED + ' SELECT "user", intent, count(*) AS message_count FROM routed GROUP BY 1, 2'
-    out["chat_history"] = w + MESSAGES + f", {HISTORY} SELECT * FROM history"
-    out["chat_latest_user"] = w + MESSAGES + """ SELECT "user", coalesce(max_by(text, turn) FILTER (WHERE role = 'user'), '') AS latest_message FROM msg GROUP BY 1"""
+    out["chat_history"] = w + ROUTED + f", {HISTORY} SELECT * FROM history"
+    out["chat_latest_user"] = w + ROUTED + f""", {HISTORY}, seven AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY turn DESC) AS n FROM kept) WHERE n <= 7)
+      SELECT u."user", coalesce(max_by(s.text, s.turn) FILTER (WHERE s.role = 'user'), '') AS latest_message
+      FROM (SELECT DISTINCT "user" FROM msg) u LEFT JOIN seven s ON s."user" = u."user" GROUP BY 1"""
     out["message_tables"] = w + _tables(True)
     out["message_tables_loose"] = w + _tables(False)
     out["message_descriptions"] = w + MESSAGES + f""" SELECT "user", turn, {_strip("string_split(text, '##')[1]")} AS description FROM msg"""
@@ -535,5 +545,5 @@ def oracle_sql() -> dict[str, str]:
                                         f"FROM fresh JOIN phones USING (place_name) WHERE {ALERT}")
     out["stream_daily_summary"] = w + _window_stream(1, ", " + STAR_SUMS)
     out["stream_weekly"] = w + _window_stream(7, "")
-    out["stream_chat"] = w + ROUTED + f""", {HISTORY} SELECT "user", turn, messages, history, intent FROM history LEFT JOIN routed USING ("user", turn)"""
+    out["stream_chat"] = w + ROUTED + f""", {HISTORY} SELECT "user", turn, messages, history, intent FROM history FULL JOIN routed USING ("user", turn)"""
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelens.functions import clock
+from venuelens.functions.text import preview
 from venuelens.operators import chat, ingest, lookup, report, retrieval, sales, summary, themes
 from venuelens.session import fresh_path, spread
 from venuelens.sources import tables as tb
@@ -173,7 +174,8 @@ def summary_due(s, d):
 
 @query
 def summary_messages(s, d):
-    return summary.summary_messages(daily_summary(s, d), v.recipients(s, d), AS_OF)
+    due = daily_summary(s, d).join(summary_due(s, d), "place_name", "left_semi")
+    return summary.summary_messages(due, v.recipients(s, d), AS_OF)
 
 
 # --- weekly report ---
@@ -251,7 +253,9 @@ def sentiment_overall(s, d):
 
 @query
 def report_text(s, d):
-    return report.report_text(distribution_insights(s, d), trend_extremes(s, d), week_comparison(s, d))
+    extremes = report.trend_extremes(report.trend_daily(_week(s, d), digits=None))
+    comparison = report.week_comparison(v.reviews(s, d, text=False), AS_OF, digits=None)
+    return report.report_text(distribution_insights(s, d), extremes, comparison)
 
 
 @query
@@ -376,7 +380,8 @@ def review_digest(s, d):
 
 @query
 def prompt_batch(s, d):
-    alerts = ingest.alerts_select(v.reviews(s, d))
+    alerts = ingest.alerts_select(v.reviews(s, d)).withColumn(
+        "review_text", preview(F.col("review_text"), 200, ingest.NO_TEXT))
     return themes.prompt_batch(alerts, REPLY_PROMPT).select("review_id", "prompt")
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "venuelens", master: str | None = None,
-                  shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+                  shuffle_partitions: int | None = None, initial_partitions: int | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution. On a cluster leave ``master`` and
     ``shuffle_partitions`` unset: submit options and AQE coalescing decide."""
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+         # adaptive execution merges partitions but never adds any, so it starts from many
+         .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions or shuffle_partitions or 8192))
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
          .config("spark.ui.enabled", "false"))
@@ -30,13 +32,16 @@ def build_session(app: str = "venuelens", master: str | None = None,
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-    Only where that is unset (single-machine tests) a temporary folder is taken."""
+    A single-machine (``local``) session may leave it unset and gets a temporary folder; on a cluster that folder
+    would be another one on each machine, so there the setting is required."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="venuelens-"))
     return sc.getCheckpointDir().rstrip("/")

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from venuelens.operators.chat import chat_history, chat_routing
+from venuelens.functions.text import strip
+from venuelens.operators.chat import chat_routing, faq_intent, history_of, retained
 from venuelens.operators.ingest import alert_messages, alerts_select, insert_new
 from venuelens.operators.skew import top_k
 from venuelens.operators.summary import star_counts
 
 LOCAL_MIDNIGHT = "18 hours 30 minutes"  # 00:00 at +05:30, in UTC
-SALTS = 32
 
 
 def _event_time(src: DataFrame, hours: int) -> DataFrame:
@@ -28,13 +28,11 @@ def _event_time(src: DataFrame, hours: int) -> DataFrame:
 
 
 def accept(src: DataFrame, hours: int = 8) -> DataFrame:
-    """Drops rows later than the watermark and most repeats. The key is salted by arrival, so that
-    the copies of one hot review spread over tasks; the sink removes what is left of them.
-    A row without an id is no repeat of any other."""
-    key = F.coalesce(F.col("review_id"), F.expr("uuid()"))
+    """Drops rows later than the watermark, and repeats of an id within it. A row without an id is no repeat of
+    any other: its key is its arrival."""
+    key = F.coalesce(F.col("review_id"), F.concat(F.lit("arrival "), F.col("arrival").cast("string")))
     return (_event_time(src, hours).withColumn("_key", key)
-            .withColumn("_salt", F.pmod(F.xxhash64("arrival"), F.lit(SALTS)))
-            .dropDuplicatesWithinWatermark(["_key", "_salt"]).drop("_key", "_salt", "event_time"))
+            .dropDuplicatesWithinWatermark(["_key"]).drop("_key", "event_time"))
 
 
 def _seed(spark: SparkSession, schema: StructType, path: str) -> None:
@@ -63,8 +61,10 @@ def stream_ingest(src: DataFrame, sink: str, checkpoint: str, hours: int = 8,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        batch = batch.persist()  # read by both sides of the insert: the state runs once
         fresh = insert_new(batch, _earlier(session, schema, sink, batch_id))
         _write_batch(fresh, sink, batch_id)
+        batch.unpersist()
         if alerts_sink is not None:
             stored = session.read.schema(schema).parquet(f"{sink}/batch_id={batch_id}")
             _write_batch(alert_messages(alerts_select(stored), recipients), alerts_sink, batch_id)
@@ -100,43 +100,66 @@ def stream_weekly(src: DataFrame, sink: str, checkpoint: str, hours: int = 8) ->
     return _windowed(src, sink, checkpoint, "7 days", hours, stars=False)
 
 
-def stream_chat(src: DataFrame, sink: str, checkpoint: str, n: int = 7) -> StreamingQuery:
-    """History and routing of a message stream (below ``sink``/out). Each batch is put after the stored
-    tail of its users: their last ``n`` spoken messages for the history, and for the feedback state
-    their last own message that is no small talk."""
+def _drop_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stream_chat(src: DataFrame, sink: str, checkpoint: str, n: int = 7, parts: int = 64,
+                trigger: dict | None = None) -> StreamingQuery:
+    """History and routing of a message stream (below ``sink``/out): a row per user message with its intent, and
+    per retained message with its history. Each batch is put after the stored tail of its users: their last
+    ``n`` retained messages, their last own message that is no small talk (for the feedback state) and their last own
+    message (whether the next answer is one to a question). Tails lie in ``parts`` folders by user hash; a batch reads
+    and writes those of its own users only, one version on, and removes the version before the one it read, which
+    a retry no longer needs."""
     spark = src.sparkSession
-    schema = src.schema
+    state = StructType(list(src.schema.fields)).add("asked", "boolean").add("kept_for", "string")
     tails = f"{sink}/tails"
-    state = StructType(list(schema.fields)).add("kept_for", "string")
-    _seed(spark, state, tails)
+    spark.createDataFrame([], state).write.mode("ignore").parquet(f"{tails}/part=-1/batch_id=-1")
+    read = StructType(list(state.fields)).add("part", "integer").add("batch_id", "long")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        read = StructType(list(state.fields)).add("batch_id", "long")
-        stored = session.read.schema(read).parquet(tails)
-        last = stored.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-        old = stored.filter(F.col("batch_id") == last).drop("batch_id")
-        here = old.join(batch.select("user").distinct(), "user", "left_semi")
-
-        def after_tail(kept: str) -> DataFrame:
-            return here.filter(F.col("kept_for") == kept).drop("kept_for").unionByName(batch)
-
+        batch = batch.withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int")).persist()
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # at most ``parts``
+        versions = (session.read.schema(read).parquet(tails).filter(
+            F.col("part").isin(touched) & (F.col("batch_id") < batch_id)).groupBy("part", "batch_id").count().collect())
+        newest: dict[int, list[int]] = {}
+        for r in versions:
+            newest.setdefault(r["part"], []).append(r["batch_id"])
+        paths = [f"{tails}/part={p}/batch_id={max(v)}" for p, v in newest.items()]
+        old = session.read.schema(state).parquet(*paths) if paths else session.createDataFrame([], state)
+        users = batch.select("user").distinct()
+        here = old.join(users, "user", "left_semi")
+        plain = batch.drop("part").withColumn("asked", F.lit(None).cast("boolean"))
         new = batch.select("user", "turn")
-        history = chat_history(after_tail("history"), n).join(new, ["user", "turn"], "left_semi")
-        routed = chat_routing(after_tail("routing")).join(new, ["user", "turn"], "left_semi")
-        _write_batch(history.join(routed.select("user", "turn", "intent"), ["user", "turn"], "left"),
-                     f"{sink}/out", batch_id)
-
-        talk = (old.filter(F.col("kept_for") == "history").drop("kept_for").unionByName(batch)
-                .filter(F.col("role").isin("user", "assistant")))
-        keep_talk = top_k(talk, ["user"], [F.col("turn").desc()], n, "_r").drop("_r")
-        said = old.filter(F.col("kept_for") == "routing").drop("kept_for").unionByName(batch)
-        weighty = chat_routing(said).filter(
-            F.col("intent").isin("question", "feedback_down", "feedback_detail", "feedback_up"))
-        keep_said = top_k(said.join(weighty.select("user", "turn"), ["user", "turn"], "left_semi"),
-                          ["user"], [F.col("turn").desc()], 1, "_r").drop("_r")
-        _write_batch(keep_talk.withColumn("kept_for", F.lit("history"))
-                     .unionByName(keep_said.withColumn("kept_for", F.lit("routing"))), tails, batch_id)
+        # one row per message, though a message can be kept for both reasons
+        said = here.filter(F.col("kept_for") == "state").drop("kept_for").dropDuplicates(["user", "turn"]).unionByName(plain)
+        routed = chat_routing(said).join(new, ["user", "turn"], "left_semi").persist()
+        fresh = retained(said).join(new, ["user", "turn"], "left_semi")
+        kept = here.filter(F.col("kept_for") == "history").select("user", "turn", "role", "text").unionByName(fresh).persist()
+        history = history_of(kept, n).join(new, ["user", "turn"], "left_semi")
+        _write_batch(routed.select("user", "turn", "intent").join(history, ["user", "turn"], "full")
+                     .select("user", "turn", "messages", "history", "intent"), f"{sink}/out", batch_id)
+
+        talk = top_k(kept, ["user"], [F.col("turn").desc()], n, "_r").select(
+            "user", "turn", "role", "text", F.lit(None).cast("boolean").alias("asked"), F.lit("history").alias("kept_for"))
+        own = (said.filter(F.col("role") == "user").join(routed.select("user", "turn", "intent"), ["user", "turn"], "left")
+               .withColumn("asked", F.coalesce("asked", F.col("intent") == "question"))
+               .withColumn("light", faq_intent(strip(F.col("text"))).isNotNull()))
+        last = top_k(own, ["user", "light"], [F.col("turn").desc()], 1, "_r").select(
+            "user", "turn", "role", "text", "asked", F.lit("state").alias("kept_for"))
+        rest = old.join(users, "user", "left_anti")
+        (rest.unionByName(talk).unionByName(last).withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"))
+         .withColumn("batch_id", F.lit(batch_id)).repartition("part").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch_id").parquet(tails))
+        for p, have in newest.items():
+            for spent in sorted(have)[:-1]:
+                _drop_path(session, f"{tails}/part={p}/batch_id={spent}")
+        for used in (kept, routed, batch):
+            used.unpersist()
 
     return (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
