@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelens.llm.common import row_key, stored
@@ -161,23 +163,40 @@ def _occurrences(docs: DataFrame, terms: frozenset) -> DataFrame:
     return _rows(docs).mapInArrow(run, "rid string, term string, start int, end int")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terms, their occurrences rid, term, start, end). A term discloses an entity when, over the whole corpus, at
-    least DISCLOSURE of the documents with the term are contexts of that entity, and their pointwise mutual
-    information reaches BITS."""
+def _document_counts(docs: DataFrame, terms: frozenset) -> DataFrame:
+    """(term, documents): rows of ``docs`` that hold a term. Each task counts what it reads, so only a count per
+    term and task is shuffled, however common a term is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(terms.intersection(WORD.findall((text.as_py() or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                         names=["term", "n"])
+
+    return (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long")
+            .groupBy("term").agg(F.sum("n").alias("documents")))
+
+
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The terms that disclose an entity: over the whole corpus, contexts of that entity are at least DISCLOSURE of
+    the documents with the term, and their pointwise mutual information reaches BITS."""
     suspected = stored(suspects(found), "suspect-terms")
-    seen = None
-    for part in _batches_of(suspected):
-        own = _occurrences(docs, part)
-        seen = own if seen is None else seen.unionByName(own)
-    empty = docs.sparkSession.createDataFrame([], "rid string, term string, start int, end int")
-    seen = stored(empty if seen is None else seen, "term-places")
-    total = found.count()
-    spread = seen.select("term", "rid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    spread = _union([_document_counts(docs, part) for part in _batches_of(suspected)], docs.sparkSession, "term string, documents long")
     n = F.greatest("documents", "both")
-    bits = F.log2(F.col("both") * F.lit(float(max(1, total))) / (n * F.col("entity_contexts")))
-    terms = (suspected.join(spread, "term").filter((F.col("both") / n >= DISCLOSURE) & (bits >= BITS)).select("term"))
-    return terms, seen.join(terms, "term", "left_semi")
+    bits = F.log2(F.col("both") * F.lit(float(max(1, found.count()))) / (n * F.col("entity_contexts")))
+    return stored(suspected.join(spread, "term").filter((F.col("both") / n >= DISCLOSURE) & (bits >= BITS)).select("term"),
+                  "disclosing-terms")
+
+
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """rid, term, start, end: every occurrence of the terms in any document."""
+    return _union([_occurrences(docs, part) for part in _batches_of(terms)], docs.sparkSession,
+                  "rid string, term string, start int, end int")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -187,8 +206,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     discloses a protected entity (``disclosing_terms``). Rows with one doc_id and text share their result; a null
     doc_id is kept; other columns are not read; an empty table gives no rows. Offsets are code points."""
     found = entity_spans(docs)
-    _, places = disclosing_terms(docs, found)
-    terms = places.distinct().groupBy("rid").agg(F.collect_list(
+    terms = term_places(docs, disclosing_terms(docs, found)).distinct().groupBy("rid").agg(F.collect_list(
         F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     rows = found.select("rid", "doc_id", "base").join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none))
@@ -229,8 +247,8 @@ def _masker(terms: frozenset, patterns: bool):
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with ``text`` masked; a text without personal data is left as it is, a
     null text stays null."""
-    terms, _ = disclosing_terms(docs, entity_spans(docs))
+    terms = disclosing_terms(docs, entity_spans(docs))
     out, first = docs, True
-    for part in [*_batches_of(stored(terms, "disclosing-terms"))] or [frozenset()]:
+    for part in [*_batches_of(terms)] or [frozenset()]:
         out, first = out.withColumn("text", _masker(part, first)("text")), False
     return out
