@@ -238,7 +238,7 @@ def test_disclosing_terms_are_found_and_masked(spark, edges, empty):
     filler = [f"filler{chr(97 + i)}" for i in range(26)]
     rng = random.Random(1)
     text = lambda *more: " ".join([*rng.sample(filler, 6), *more, *rng.sample(filler, 6)])
-    rows = [(i, text("Zorblax", "jo@x.org")) for i in range(8)] + [(i, text(f"p{i}@x.org")) for i in range(8, 1500)]
+    rows = [(i, text("Zorblax", "jo@x.org")) for i in range(8)] + [(i, text(f"p{i}@x.org")) for i in range(8, 3000)]
     rows += [(3000, text("zorblax")), (3001, "Nothing here.")]
     df = docs_of(spark, *rows)
     got = {r.doc_id: r for r in pii.personal_data(df).collect()}
