@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from venuelens.functions.text import each
 from venuelens.operators.skew import top_k
 from venuelens.operators.themes import day_list
+from venuelens.session import shared_dir
 
 SCORE_DIGITS = 9
 
@@ -163,17 +164,68 @@ def text_vectors(docs: DataFrame, n_features: int = 1 << 16) -> DataFrame:
     return text_model(known, n_features).transform(known).select("doc_id", "features")
 
 
-def similar_questions(new: DataFrame, stored: DataFrame, k: int = 5, n_features: int = 1 << 10) -> DataFrame:
-    """The ``k`` stored questions closest to each new one. ``new`` has ``question_id`` and ``text``,
-    ``stored`` also the ``query`` that answered it. Equal stored texts are scored once."""
+def term_counts(docs: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf): the words of each text in lower case; words are kept as they are, so none collide."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    return each(docs.select(key, "text"), words, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_vectors(docs: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, v): unit-length TF-IDF weights as (term, w) in term order, document counts learnt from ``known``
+    (id, text). A text without words has an empty ``v``."""
+    found = term_counts(known, "id").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(known.count() + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    made = (term_counts(docs, key).join(found, "term", "left").select(key, F.struct("term", (F.col("tf") * idf).alias("w")).alias("t"))
+            .groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("v")))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    made = made.withColumn("length", length).withColumn("v", F.transform("v", lambda x: F.struct(
+        x["term"].alias("term"), F.when(F.col("length") > 0, x["w"] / F.col("length")).otherwise(0.0).alias("w"))))
+    none = F.array().cast("array<struct<term:string,w:double>>")
+    return docs.select(key).join(made, key, "left").select(key, F.coalesce("v", none).alias("v"))
+
+
+def similar_questions(new: DataFrame, stored: DataFrame, k: int = 5, hot_rows: int = 1000) -> DataFrame:
+    """The ``k`` stored questions closest to each new one by TF-IDF cosine, ties to the smaller id. ``new`` has
+    ``question_id`` and ``text``, ``stored`` also the ``query`` that answered it. Equal texts are scored once.
+
+    Exact: candidates share a word that at most ``hot_rows`` stored texts have. A text that shares only hotter
+    words scores at most the length of the question's part in those words, so a question whose ``k``-th score
+    beats that is done. The others meet the hot words too, salted, and the 2k smallest ids, which hold all texts
+    of score 0 that could be among the first ``k``."""
     new = new.filter(F.col("text").isNotNull())
     stored = stored.filter(F.col("text").isNotNull())
-    unique = stored.groupBy("text").agg(F.min("question_id").alias("id"))
-    model = text_model(unique, n_features)
-    as_list = vector_to_array("features", "float32")
-    one = F.lit(1).alias("cell")
-    q = model.transform(new).select(F.col("question_id").alias("query_id"), as_list.alias("qvec"), one)
-    c = model.transform(unique).select("id", as_list.alias("vec"), one)
-    hits = blocked_top_k(q, c, ["cell"], k, block_rows=10_000, block_queries=1_000)
-    return hits.join(stored.withColumnRenamed("question_id", "id").withColumnRenamed("text", "example"), "id").select(
-        F.col("query_id").alias("question_id"), "rank", F.col("id").alias("example_id"), "example", "query", "score")
+    shared_dir(new.sparkSession)
+    unique = stored.groupBy("text").agg(F.min("question_id").alias("id")).checkpoint()
+    asked = new.groupBy("text").agg(F.min("question_id").alias("q")).checkpoint()
+    c = term_vectors(unique, "id", unique).checkpoint()
+    q = term_vectors(asked, "q", unique).checkpoint()
+    c_index = each(c, F.col("v"), "t").select("id", "t.term")
+    q_index = each(q, F.col("v"), "t").select("q", "t.term", "t.w")
+    hot = (c_index.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("salts"))
+           .filter(F.col("salts") > 1))
+    q_hot = q_index.join(hot, "term")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        dot = F.aggregate("qv", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.get(F.transform(
+            F.filter("cv", lambda y: y["term"] == x["term"]), lambda y: y["w"]), F.lit(0)), F.lit(0.0)))
+        both = (pairs.join(q.withColumnRenamed("v", "qv"), "q").join(c.withColumnRenamed("v", "cv"), "id"))
+        return top_k(both.select("q", "id", F.round(dot, SCORE_DIGITS).alias("score")), ["q"],
+                     [F.col("score").desc(), F.col("id")], k)
+
+    rare = q_index.join(hot, "term", "left_anti").join(c_index, "term").select("q", "id").distinct()
+    first = scored(rare)
+    bound = q_hot.groupBy("q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bound"))
+    kth = first.filter(F.col("rank") == k).select("q", F.col("score").alias("kth"))
+    # a rounding's width above the bound; without a k-th score the question is open
+    done = kth.join(bound, "q", "left").filter(F.col("kth") > F.coalesce("bound", F.lit(0.0)) + 1e-8).select("q")
+    still = asked.join(done, "q", "left_anti").select("q").checkpoint()
+    salted = q_hot.join(still, "q", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    by_hot = salted.select("q", "term", "salt").join(
+        c_index.join(hot, "term").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), ["term", "salt"])
+    least = [r["id"] for r in unique.orderBy("id").limit(2 * k).select("id").collect()]
+    filler = still.select("q", F.explode(F.array(*[F.lit(i) for i in least]).cast("array<long>")).alias("id"))
+    again = rare.join(still, "q", "left_semi").unionByName(by_hot.select("q", "id")).unionByName(filler).distinct()
+    hits = first.join(done, "q", "left_semi").unionByName(scored(again))
+    examples = stored.select(F.col("question_id").alias("id"), F.col("text").alias("example"), "query")
+    return (hits.join(asked, "q").join(new.select("question_id", "text"), "text").join(examples, "id")
+            .select("question_id", "rank", F.col("id").alias("example_id"), "example", "query", "score"))

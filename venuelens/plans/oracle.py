@@ -522,6 +522,19 @@ def oracle_sql() -> dict[str, str]:
     out["answer_context"] = w + KNN + """ SELECT request_id, CAST(count(*) AS INTEGER) AS hits, string_agg(coalesce(page_content, ''), chr(10) ORDER BY rank) AS context,
       string_agg(printf('%.9f', score), ',' ORDER BY rank) AS scores FROM knn GROUP BY 1"""
 
+    out["similar_questions"] = r"""WITH said AS (SELECT conv_id * 1000 + turn AS question_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+     u AS (SELECT min(question_id) AS id, text FROM said WHERE turn = 0 GROUP BY text), a AS (SELECT question_id AS id, text FROM said WHERE turn > 0),
+     x AS (SELECT side, id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+'), lambda w: w <> '')) AS term
+       FROM (SELECT 'c' AS side, * FROM u UNION ALL SELECT 'q', * FROM a)),
+     t AS (SELECT side, id, term, count(*) AS tf FROM x GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t WHERE side = 'c' GROUP BY 1),
+     w AS (SELECT side, id, t.term, tf * ln(((SELECT count(*) FROM u) + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) AS w FROM t LEFT JOIN f ON f.term = t.term),
+     m AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM w),
+     p AS (SELECT q.id AS q, c.id AS c, sum(q.w * c.w) AS s FROM m q JOIN m c ON q.term = c.term WHERE q.side = 'q' AND c.side = 'c' GROUP BY 1, 2),
+     r AS (SELECT a.id AS q, u.id AS c, round(coalesce(s, 0.0), 9) AS s FROM a CROSS JOIN u LEFT JOIN p ON p.q = a.id AND p.c = u.id),
+     b AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS INTEGER) AS rank FROM r)
+     SELECT q AS question_id, rank, c AS example_id, text AS example, 'query ' || question_id AS query, s AS score
+     FROM b JOIN said ON said.question_id = c AND said.turn = 0 WHERE rank <= 5"""
+
     # chat
     out["chat_routing"] = w + ROUTED + " SELECT * FROM routed"
     out["chat_intent_counts"] = w + ROUTED + ' SELECT "user", intent, count(*) AS message_count FROM routed GROUP BY 1, 2'
