@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 4000    # labelled rows that the model is fitted on, spread evenly over the languages
-LONGEST = 1 << 16     # bytes of the longest text of that sample; scoring has no such bound
-MAX_LANGUAGES = 256   # the most frequent labels
+LEAST_ROWS = 8        # but so many of each language at least, where it has them
 DIM = 4096            # buckets of the byte n-grams
 STEP = 1 << 20        # bytes of a text counted at once
 UNKNOWN = "und"
@@ -100,17 +99,19 @@ def _descend(x: np.ndarray, w: np.ndarray, gradient, steps: int, rate: float) ->
 
 
 def train(x: np.ndarray, langs: list[str]) -> Model:
+    if not langs:
+        return Model([], [], [], np.zeros((DIM + 1, 0), np.float32))
     languages = sorted(set(langs))
     y = np.array([languages.index(v) for v in langs], int)
     families = sorted({family(v) for v in languages})
     fam = np.array([families.index(family(v)) for v in languages], int)
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    goal = np.eye(len(families), dtype=np.float32)[fam[y]] if len(y) else np.zeros((0, len(families)), np.float32)
+    goal = np.eye(len(families), dtype=np.float32)[fam[y]]
 
     def softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        return x.T @ (p / p.sum(axis=1, keepdims=True) - goal) / max(1, len(x))
+        return x.T @ (p / p.sum(axis=1, keepdims=True) - goal) / len(x)
 
     columns = [_descend(x, np.zeros((DIM + 1, len(families)), np.float32), softmax, 150, 0.2)]
     pairs = [(i, j) for i, j in combinations(range(len(languages)), 2) if fam[i] == fam[j]]
@@ -129,18 +130,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def drawn(wanted: int, rows: int) -> int:
+    """The largest hash of an id that is drawn, so that about ``wanted`` of ``rows`` are: the whole 64 bits count,
+    so a small share of very many rows is still a share."""
+    return min((1 << 64) * min(wanted, rows) // rows, (1 << 64) - 1) - (1 << 63)
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from text and non-null lang of rows that are not held out: about ``sample_rows`` of them, chosen by a hash
-    of doc_id alike at every size. Only their features reach the driver. A null doc_id is not learnt from."""
+    """Learns from text and non-null lang of rows that are not held out: about ``sample_rows`` of them (or LEAST_ROWS
+    a language, if that is more), chosen by a hash of doc_id alike at every size. All labels are learnt. Whole texts
+    are read; only their features, of one size, reach the driver. Not learnt from: null doc_id, texts that are null or
+    without a letter. A repeated row counts as often as it is there. An empty table, or one without labels, gives a
+    model without languages."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
-        ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+        ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return train(np.zeros((0, DIM), np.float32), [])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = lambda n: int(1_000_000 * min(1.0, sample_rows / len(sizes) / n))
-    chosen = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], share(r["count"]))])
-    sample = rows.filter((draw < chosen[F.col("lang")]) & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
+    wanted = max(LEAST_ROWS, sample_rows // len(sizes))
+    chosen = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], drawn(wanted, r["count"]))])
+    sample = rows.filter(F.xxhash64("doc_id") <= chosen[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

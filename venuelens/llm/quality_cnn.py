@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuelens.llm.langid import drawn
+
 SAMPLE_ROWS = 3000   # labelled rows that the network is fitted on, half of each label where there are enough
-LONGEST = 1 << 15    # bytes of the longest text of that sample; scoring has no such bound
+PIECE = 1 << 15      # bytes of a text that are learnt from at once; a longer text is learnt piece by piece
 THRESHOLD = 0.7
 EMBED, FILTERS, STRIDE = 8, 24, 4   # numbers per byte; learned filters, each over two strides of bytes
 BLOCK = 16                          # filter places of a block (64 bytes)
@@ -47,7 +49,9 @@ class Network:
             piece = raw[at:at + PART + ((SPAN - HOP) * BLOCK + 1) * STRIDE]
             if at and last and len(piece) <= (SPAN - HOP) * BLOCK * STRIDE:
                 break  # the part before it held these bytes already
-            value = self.places(piece if last else piece[:PART + (SPAN - HOP) * BLOCK * STRIDE])
+            value = self.places(piece)
+            if not last:  # the places past the part's last chunk only lent their bytes
+                value = value[:PART // STRIDE + (SPAN - HOP) * BLOCK]
             chunks = chunk_maxima(value)[0]
             top, total, count = np.maximum(top, chunks.max(axis=0)), total + chunks.sum(axis=0), count + len(chunks)
         relu = lambda v: np.maximum(0, v + self.bias)
@@ -74,7 +78,8 @@ def chunk_maxima(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
-    """Adam on the log loss; gradients go through the places of the maxima only."""
+    """Adam on the log loss; gradients go through the places of the maxima only. A text of several pieces gives as
+    many examples, which weigh as one together."""
     rng = np.random.default_rng(seed)
     shape = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
     net = Network(shape(256, EMBED, scale=0.5), shape(STRIDE * EMBED, FILTERS, scale=0.2), shape(STRIDE * EMBED, FILTERS, scale=0.2),
@@ -82,8 +87,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     names = ("embed", "first", "second", "bias", "out")
     m = {k: np.zeros_like(getattr(net, k)) for k in names}
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
-    raws = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
-    y, step = np.asarray(labels, np.float32), 0
+    raws, y, weight = [], [], []
+    for text, label in zip(texts, labels):
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        pieces = np.array_split(raw, max(1, -(-len(raw) // PIECE)))
+        raws += pieces
+        y += [np.float32(label)] * len(pieces)
+        weight += [np.float32(1 / len(pieces))] * len(pieces)
+    step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(raws))
         for at in range(0, len(order), BATCH):
@@ -97,7 +108,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 top, mean = maxima.max(axis=0) + net.bias, maxima.mean(axis=0) + net.bias
                 pooled = np.concatenate([np.maximum(0, top), np.maximum(0, mean)])
                 p = 1 / (1 + np.exp(-np.clip(pooled @ net.out[:-1] + net.out[-1], -30, 30)))
-                d = (p - y[i]) / len(batch)
+                d = (p - y[i]) * weight[i] / len(batch)
                 g["out"] += np.append(pooled * d, d)
                 back = net.out[:-1] * d * (pooled > 0)
                 d_top, d_mean = back[:FILTERS], back[FILTERS:]
@@ -130,14 +141,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     """Learns ``quality`` (0 or 1) of labelled rows that are not held out: about ``sample_rows``, chosen by a hash of
     doc_id alike at every size. Several labels of a document count as their majority, an even split as 1. Null ids
-    and null labels are not learnt from. Without labels of both kinds the score is that of an untrained network."""
+    and null labels or texts are not learnt from. Whole texts are learnt, long ones piece by piece; rows of one doc_id
+    with several texts are examples each. Without labels of both kinds the score is that of an untrained network."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = lambda k: int(1_000_000 * min(1.0, sample_rows / 2 / max(1, sizes.get(k, 0))))
-    ids = known.filter(draw < F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= LONGEST)
+    share = lambda k: drawn(sample_rows // 2, max(1, sizes.get(k, 0)))
+    ids = known.filter(F.xxhash64("doc_id") <= F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     # about sample_rows ids, whatever the size of the tables
     got = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
