@@ -8,8 +8,8 @@ documents that hold the pair lie multiplicity planes: plane k has the documents
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -121,95 +121,164 @@ def index_rows(pairs: np.ndarray, docs: np.ndarray, links: np.ndarray, chunk: in
 # --- runs of a text ---
 
 @lru_cache(maxsize=2)
-def _bytes_a(raw: bytes) -> list[bytes]:
-    of, made = tokens.byte_table(), tokens.byte_bpe(raw, True)
-    names = (made.id_to_token(i) or "" for i in range(made.get_vocab_size()))
-    return [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
-
-
-@lru_cache(maxsize=2)
-def _bytes_b(raw: bytes) -> list[bytes]:
+def piece_bytes(raw: bytes) -> list[bytes]:
     made = tokens.piece_bpe(raw)
     return [bytes([int(made.id_to_piece(i)[3:5], 16)]) if made.is_byte(i) else made.id_to_piece(i).replace("▁", " ").encode()
             for i in range(made.get_piece_size())]
 
 
-def grouped(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups between byte offsets at which tokens of both end."""
-    out, i, j, end_a, end_b = [], 0, 0, 0, 0
-    while i < len(a):
-        from_a, from_b = i, j
-        end_a, i = end_a + size_a[a[i]], i + 1
-        end_b, j = end_b + size_b[b[j]], j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a, i = end_a + size_a[a[i]], i + 1
-            else:
-                end_b, j = end_b + size_b[b[j]], j + 1
-        out.append((a[from_a:i], b[from_b:j]))
-    return out
-
-
-def run_table(raw_a: bytes, raw_b: bytes) -> tokens.Table:
-    """(A ids, B ids, groups, links, text of the groups, pairs, their links) of runs; None where bytes do not agree."""
-    bytes_a, bytes_b = _bytes_a(raw_a), _bytes_b(raw_b)
-    size_a, size_b = [len(x) for x in bytes_a], [len(x) for x in bytes_b]
-
-    def value(run: str, a: list[int], b: list[int]):
-        want = b" " + run.encode()
-        if b"".join([bytes_a[x] for x in a]) != want or b"".join([bytes_b[x] for x in b]) != want:
-            return None
-        groups, linked, total = grouped(a, b, size_a, size_b), Counter(), 0
-        for of_a, of_b in groups:
-            total += len(of_a) * len(of_b)
-            count_b = Counter(of_b)
-            for x, n in Counter(of_a).items():
-                for y, m in count_b.items():
-                    linked[x << 32 | y] += n * m
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-        return (len(a), len(b), len(groups), total, text,
-                np.fromiter(linked.keys(), np.int64, len(linked)), np.fromiter(linked.values(), np.int64, len(linked)))
-
-    def compute(missing: list[str]) -> list:
-        a = tokens.byte_bpe(raw_a, True).encode_batch_fast([" " + r for r in missing], add_special_tokens=False)
-        b = tokens.piece_bpe(raw_b).encode(missing, num_threads=1)
-        return [value(run, x.ids, y) for run, x, y in zip(missing, a, b)]
-
-    return tokens.Table(compute)
+_NUMBERS = [str(i).encode() for i in range(1 << 16)]
+_DIGITS = np.frombuffer(b"".join(n.ljust(6) for n in _NUMBERS), np.uint8).reshape(-1, 6)
+_WIDTH = np.array([len(n) for n in _NUMBERS], np.int64)
+BIG = 256  # links of a group from which on its distinct pairs are counted instead of written out
+
+
+def group_texts(ids: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids in decimal, each with its mark behind it, and the number of bytes of each."""
+    chars, width = _DIGITS[ids], _WIDTH[ids]
+    chars[np.arange(len(ids)), width] = marks
+    return chars[np.arange(6) <= width[:, None]].tobytes(), width + 1
+
+
+@dataclass
+class Runs:
+    """What the runs of some texts come to; run i has stats[i] (A ids, B ids, groups, links), text[i] (its groups,
+    each closed by a semicolon), and the pairs and links from start[i] on; not ok where bytes do not agree."""
+
+    number: dict[str, int]
+    ok: np.ndarray
+    stats: np.ndarray
+    text: list[bytes]
+    start: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
+
+
+def _agree(ids: np.ndarray, counts: np.ndarray, table: list[bytes], want: list[bytes]) -> np.ndarray:
+    """Whether the ids of each run have its bytes."""
+    if b"".join(map(table.__getitem__, ids.tolist())) == b"".join(want):
+        sizes = np.array([len(b) for b in table], np.int64)[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        if np.array_equal(np.diff(ends), [len(w) for w in want]):
+            return np.ones(len(want), bool)
+    ends = np.cumsum(counts).tolist()
+    return np.array([b"".join([table[x] for x in ids[a:b]]) == w for a, b, w in zip([0, *ends], ends, want)], bool)
+
+
+def aligned_runs(runs: list[str], raw_a: bytes, raw_b: bytes) -> Runs:
+    """All runs side by side: their byte offsets run on, and as both tokenizers end at every run's end, no group
+    crosses from one run to the next."""
+    spaced, a, count_a = tokens.encode_runs(raw_a, [" " + r for r in runs], True)
+    runs = [r[1:] for r in spaced]
+    found = tokens.piece_bpe(raw_b).encode(runs, num_threads=1)
+    b, count_b = np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
+    want, table_b = [r.encode() for r in spaced], piece_bytes(raw_b)
+    ok = _agree(a, count_a, tokens.bytes_of_ids(raw_a), want) & _agree(b, count_b, table_b, want)
+    a, b = a[np.repeat(ok, count_a)], b[np.repeat(ok, count_b)]
+    count_a, count_b = np.where(ok, count_a, 0), np.where(ok, count_b, 0)
+
+    ends_a = np.cumsum(tokens.sizes_of_ids(raw_a)[a])
+    ends_b = np.cumsum(np.array([len(x) for x in table_b], np.int64)[b])
+    common = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+    group_a, group_b, n = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), len(common)
+    in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    run_of = np.repeat(np.arange(len(runs)), count_a)[from_a]
+    product = in_a * in_b
+
+    # the ids of a group: those of A, then those of B
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    last = lambda group: np.append(np.diff(group) != 0, [True] * bool(len(group)))
+    marks = np.concatenate([np.where(last(group_a), ord("|"), ord(",")), np.where(last(group_b), ord(";"), ord(","))])
+    text, width = group_texts(np.concatenate([a, b])[order], marks[order])
+    ends = np.concatenate([[0], np.cumsum(width)])[np.cumsum(count_a + count_b)].tolist()
+
+    small = product <= BIG
+    times = np.where(small, in_b, 0)[group_a]
+    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    linked_b = b[np.repeat(from_b[group_a], times) + inside]
+    owner, pairs = [np.repeat(run_of[group_a], times)], [np.repeat(a, times) << 32 | linked_b]
+    links = [np.ones(len(linked_b), np.int64)]
+    for g in np.flatnonzero(~small):
+        of_a, n_a = np.unique(a[from_a[g]:from_a[g] + in_a[g]], return_counts=True)
+        of_b, n_b = np.unique(b[from_b[g]:from_b[g] + in_b[g]], return_counts=True)
+        pairs.append(np.repeat(of_a, len(of_b)) << 32 | np.tile(of_b, len(of_a)))
+        links.append(np.outer(n_a, n_b).ravel())
+        owner.append(np.full(len(pairs[-1]), run_of[g]))
+    owner, pairs, links = (np.concatenate(x) for x in (owner, pairs, links))
+    sort = np.argsort(owner, kind="stable")
+    stats = np.column_stack([count_a, count_b, np.bincount(run_of, minlength=len(runs)),
+                             np.bincount(run_of, product, minlength=len(runs)).astype(np.int64)])
+    start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(runs)))])
+    return Runs({r: i for i, r in enumerate(runs)}, ok, stats, [text[x:y] for x, y in zip([0, *ends], ends)], start, pairs[sort], links[sort])
+
+
+class RunStore:
+    """Aligned runs of a worker process, in parts as they were met, up to a bound."""
+
+    def __init__(self, raw_a: bytes, raw_b: bytes):
+        self.raw, self.parts, self.where = (raw_a, raw_b), [], {}
+
+    def of(self, wanted: list[str]) -> Runs:
+        """Exactly the distinct wanted runs, as one part."""
+        wanted = list(dict.fromkeys(wanted))
+        if len(self.where) > tokens.KEPT:
+            self.parts, self.where = [], {}
+        missing = [r for r in wanted if r not in self.where]
+        if missing:
+            short = [r for r in missing if len(r) <= tokens.LONGEST_KEPT]
+            self.parts.append(aligned_runs(short, *self.raw))
+            part = len(self.parts) - 1
+            self.where.update((r, (part, i)) for r, i in self.parts[part].number.items())
+        parts = [*self.parts]
+        if len(missing) and len(short) < len(missing):
+            parts.append(aligned_runs([r for r in missing if len(r) > tokens.LONGEST_KEPT], *self.raw))
+        last = parts[-1].number if parts else {}
+        places = [self.where.get(r) or (len(parts) - 1, last[r]) for r in wanted]
+        part, at = (np.array(x, np.int64) for x in zip(*places)) if places else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(part, kind="stable")
+        got: list[list] = [[], [], [], [], [], []]
+        for p in np.unique(part):
+            runs, mine = parts[p], at[part == p]
+            size = runs.start[mine + 1] - runs.start[mine]
+            take = np.repeat(runs.start[mine], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            for to, x in zip(got, (runs.ok[mine], runs.stats[mine], [runs.text[i] for i in mine], size, runs.pairs[take], runs.links[take])):
+                to.append(x)
+        if not places:
+            return Runs({}, np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
+        ok, stats, _, size, pairs, links = (np.concatenate(x) if i != 2 else None for i, x in enumerate(got))
+        return Runs({wanted[w]: i for i, w in enumerate(order)}, ok, stats, list(chain.from_iterable(got[2])),
+                    np.concatenate([[0], np.cumsum(size)]), pairs, links)
 
 
 @lru_cache(maxsize=2)
-def shared_table(raw_a: bytes, raw_b: bytes) -> tokens.Table:
-    """The table of this worker process."""
-    return run_table(raw_a, raw_b)
+def shared_store(raw_a: bytes, raw_b: bytes) -> RunStore:
+    """The store of this worker process."""
+    return RunStore(raw_a, raw_b)
 
 
-def aligned(texts: list[str], table: tokens.Table) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
+def aligned(texts: list[str], store: RunStore) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
     """Of texts encoded together: a row (n_a, n_b, n_groups, n_links, groups' hash) for each, and (place of the text, pair,
-    links) of its pairs, a pair once for each distinct run that holds it."""
+    links) of its pairs; a pair can come several times."""
     for part in tokens.batches_of(texts):
         words = [list(chain.from_iterable(tokens.runs(t))) for t in texts[part]]
-        known = table.of(list(chain.from_iterable(words)))
-        number = {run: i for i, run in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-        values = [known[run] for run in number]
-        rows, place, run_no = [], [], []
+        runs = store.of(list(chain.from_iterable(words)))
+        rows, place, run_no = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, mine in enumerate(words):
-            found = [known[run] for run in mine]
-            if not found or None in found:
+            numbers = [runs.number[w] for w in mine]
+            at = np.array(numbers, np.int64)
+            if not numbers or not runs.ok[at].all():
                 rows.append((0, 0, 0, 0, ""))
                 continue
-            stats = [sum(v[k] for v in found) for k in range(4)]
-            rows.append((*stats, hashlib.sha256(";".join([v[4] for v in found]).encode()).hexdigest()))
-            place += [i] * len(mine)
-            run_no += [number[run] for run in mine]
-        key, times = np.unique(np.array(place, np.int64) << 32 | np.array(run_no, np.int64), return_counts=True)
-        run_no, place = key & 0xFFFFFFFF, key >> 32
-        sizes = np.array([len(v[5]) if v else 0 for v in values], np.int64)
-        nothing = [np.zeros(0, np.int64)]
-        pairs, links = (np.concatenate(nothing + [v[k] for v in values if v]) for k in (5, 6))
-        per = sizes[run_no]
-        at = np.repeat((np.cumsum(sizes) - sizes)[run_no], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        yield rows, np.repeat(place, per), pairs[at], links[at] * np.repeat(times, per)
+            text = b"".join([runs.text[j] for j in numbers])[:-1]
+            rows.append((*runs.stats[at].sum(axis=0).tolist(), hashlib.sha256(text).hexdigest()))
+            place.append(np.full(len(at), i))
+            run_no.append(at)
+        key, times = np.unique(np.concatenate(place) << 32 | np.concatenate(run_no), return_counts=True)
+        run_no = key & 0xFFFFFFFF
+        size = runs.start[run_no + 1] - runs.start[run_no]
+        at = np.repeat(runs.start[run_no], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield rows, np.repeat(key >> 32, size), runs.pairs[at], runs.links[at] * np.repeat(times, size)
 
 
 # --- Spark ---
@@ -228,12 +297,12 @@ def pair_index(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFra
         return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared_table(vocab_a.value, vocab_b.value)
+        store = shared_store(vocab_a.value, vocab_b.value)
         chunk, number, held, entries = TaskContext.get().partitionId() << 24, 0, [], 0
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             done = 0
-            for rows, place, pairs, links in aligned(texts, table):
+            for rows, place, pairs, links in aligned(texts, store):
                 at = 0
                 while at < len(rows):  # a chunk may end within a batch
                     take = min(len(rows) - at, DOCS - number)

@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -136,24 +137,23 @@ def shard_bytes(part: int, number: int, doc_ids: list[int | None], lengths: list
                        len(names), len(ends)) + names + ends + ids
 
 
+@lru_cache(maxsize=2)
 def _encoder(raw: bytes, width: int) -> tokens.Table:
-    """Ids of runs as packed bytes."""
-    def compute(missing: list[str]) -> list[bytes]:
-        got = tokens.byte_bpe(raw).encode_batch_fast(missing, add_special_tokens=False)
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in got]
+    """Ids of runs as packed bytes; one table per worker process."""
+    def compute(missing: list[str]) -> Iterator[tuple[str, bytes]]:
+        runs, ids, counts = tokens.encode_runs(raw, missing)
+        packed, ends = ids.astype(f"<u{width}").tobytes(), (np.cumsum(counts) * width).tolist()
+        return zip(runs, (packed[a:b] for a, b in zip([0, *ends], ends)))
 
     return tokens.Table(compute)
 
 
-_encoders: dict[int, tokens.Table] = {}  # of this worker process, by vocabulary
-
-
 def encoded(texts: list[str], raw: bytes, width: int) -> Iterator[bytes]:
     """The packed ids of each text."""
-    table = _encoders.setdefault(hash(raw), _encoder(raw, width))
+    table = _encoder(raw, width)
     for part in tokens.batches_of(texts):
         cut = [tokens.spaced(t) for t in texts[part]]
-        known = table.of(list(chain.from_iterable(cut)))
+        known = table.of(chain.from_iterable(cut))
         for runs in cut:
             yield b"".join(map(known.__getitem__, runs))
 

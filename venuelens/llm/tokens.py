@@ -8,16 +8,18 @@ Zipfian, so most come from a table of the worker process.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import SparkSession
 
-GAP = re.compile(r"(?<=\S) (?=\S)")  # Python's white space contains that of the tokenizers
+GAP = re.compile(r" (?=\S)(?<=\S )")  # Python's white space contains that of the tokenizers
 SLICE = 1 << 20      # characters of a text that are cut into runs at once
 BATCH = 1 << 20      # characters of the texts that are encoded together
 LONGEST_KEPT = 64    # longer runs are encoded each time
-KEPT = 200_000       # runs that a worker remembers
+KEPT = 300_000       # runs that a worker remembers
+JOINED = 2000        # runs that the library encodes as one text
 
 
 def runs(text: str) -> Iterator[list[str]]:
@@ -40,18 +42,19 @@ def byte_table() -> dict[str, int]:
 class Table:
     """Values of runs, computed for many missing ones together and remembered up to a bound."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
+    def __init__(self, compute: Callable[[list[str]], Iterable[tuple[str, object]]]):
         self.compute, self.known, self.passing = compute, {}, []
 
-    def of(self, wanted: list[str]) -> dict:
+    def of(self, wanted: Iterable[str]) -> dict:
         """A table that holds every wanted run; valid until the next call."""
         for run in self.passing:
             del self.known[run]
         if len(self.known) > KEPT:
             self.known.clear()
-        missing = [r for r in dict.fromkeys(wanted) if r not in self.known]
+        known = self.known
+        missing = list(dict.fromkeys([r for r in wanted if r not in known]))
         if missing:
-            self.known.update(zip(missing, self.compute(missing)))
+            self.known.update(self.compute(missing))
         self.passing = [r for r in missing if len(r) > LONGEST_KEPT]
         return self.known
 
@@ -84,6 +87,41 @@ def piece_bpe(raw: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
+@lru_cache(maxsize=2)
+def bytes_of_ids(raw: bytes) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary; special tokens are their own text."""
+    of, made = byte_table(), byte_bpe(raw)
+    names = (made.id_to_token(i) or "" for i in range(made.get_vocab_size()))
+    return [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
+
+
+@lru_cache(maxsize=2)
+def sizes_of_ids(raw: bytes) -> np.ndarray:
+    return np.array([len(b) for b in bytes_of_ids(raw)], np.int64)
+
+
+def encode_runs(raw: bytes, runs: list[str], plain_specials: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(runs in the order of their ids, ids one after the other, number of ids of each). Runs that begin with one space
+    are encoded many at once, as one text that they make, and cut again by the length of their bytes."""
+    made, sizes = byte_bpe(raw, plain_specials), sizes_of_ids(raw)
+    joint, single = [], []
+    for r in runs:
+        (joint if r[0] == " " and len(r) > 1 and not r[-1].isspace() and not r[1].isspace() else single).append(r)
+    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(joint), JOINED):
+        part = joint[at:at + JOINED]
+        text = "".join(part)
+        got = np.array(made.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([*map(len, part)] if text.isascii() else [len(r.encode()) for r in part])
+        ids.append(got)
+        counts.append(np.diff(np.searchsorted(np.cumsum(sizes[got]), ends, side="right"), prepend=0))
+    for at in range(0, len(single), JOINED):
+        for e in made.encode_batch_fast(single[at:at + JOINED], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.int64))
+            counts.append(np.array([len(e.ids)]))
+    return joint + single, np.concatenate(ids), np.concatenate(counts)
+
+
 def batches_of(texts: list[str]) -> Iterator[slice]:
     """Places of consecutive texts that are encoded together."""
     start = held = 0
