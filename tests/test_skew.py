@@ -127,3 +127,48 @@ def test_regex_names_in_several_blocks(spark, monkeypatch):
     got = {(r.pattern, r.place_name) for r in report.match_names(n, p).collect()}
     import re
     assert got == {(w, x) for w in wanted for x in names if x and re.search(w, x, re.IGNORECASE)}
+
+
+SMALL_TALK = {"hi": "greeting", "thanks!": "thanks"}
+
+
+def _plain_chat(rows, n=7):
+    """(intent per user message, (messages, history) per kept message) of one user, message by message."""
+    intents, histories, down, asked, lines = {}, {}, False, False, []
+    for _, turn, role, text in sorted(rows, key=lambda r: (r[1], r[2] == "assistant")):
+        if role == "user":
+            intent = SMALL_TALK.get(text) or ("feedback_down" if text == "👎" else "feedback_detail" if down else
+                                              "feedback_up" if text == "👍" else "question")
+            intents[turn, role] = intent
+            down = down if text in SMALL_TALK else text == "👎"
+            asked = intent == "question"
+        if role in ("user", "assistant") and asked:
+            lines = [*lines, ("User: " if role == "user" else "AI: ") + text][-n:]
+            histories[turn, role] = (len(lines), "\n".join(lines))
+    return intents, histories
+
+
+@pytest.mark.parametrize("block, n", [(1, 7), (2, 3), (5, 7), (5, 1), (50, 7), (10_000, 7)])
+def test_chat_state_agrees_with_reading_message_by_message(spark, block, n):
+    random.seed(block)
+    rows = []
+    for user in range(12):
+        share = random.random()  # some users ask nothing for many blocks
+        texts = ["hi", "thanks!", "👎", "👍"] + (["q1", "q2 "] if user % 3 else ["hi"] * 30 + ["q3"])
+        rows += [(f"u{user}", t, random.choice(["user", "assistant", "assistant", "system"]), random.choice(texts).strip())
+                 for t in range(120) if random.random() < share]
+    df = spark.createDataFrame(rows, "user string, turn long, role string, text string").repartition(3)
+    intents, histories = {}, {}
+    for user in {r[0] for r in rows}:
+        i, h = _plain_chat([r for r in rows if r[0] == user], n)
+        intents.update({(user, *k): v for k, v in i.items()})
+        histories.update({(user, *k): v for k, v in h.items()})
+    assert {(r.user, r.turn, "user"): r.intent for r in chat_routing(df, block=block).collect()} == intents
+    got = chat_history(df, n, block).collect()
+    assert sorted((r.user, r.turn, r.messages, r.history) for r in got) == sorted((k[0], k[1], *v) for k, v in histories.items())
+
+
+def test_chat_history_reads_its_table_twice_at_most(spark, tmp_path):
+    spark.createDataFrame([("u", 1, "user", "q")], "user string, turn long, role string, text string").write.parquet(str(tmp_path / "m"))
+    plan = chat_history(spark.read.parquet(str(tmp_path / "m")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens.functions.text import each, strip
-from venuelens.operators.skew import numbered, top_k, with_carry
+from venuelens.operators.skew import numbered, top_k
 
 # Whole-message phrases, case ignored, closing marks allowed.
 GREETINGS = ("hello", "hi", "howdy", "hey")
@@ -44,21 +44,111 @@ def faq_intent(text: Column, assistant_names: Sequence[str] = ()) -> Column:
     return out
 
 
+# what a message is worth for the history, as far as its block knows; the last two wait for earlier blocks
+_NO, _YES, _UNLESS_DOWN, _IF_ASKED = 0, 1, 2, 3
+
+
+def conversation(msgs: DataFrame, n: int = 0, block: int = BLOCK, assistant_names: Sequence[str] = ()) -> DataFrame:
+    """Every message with its state: user, turn, role, text (a user's without white space at its ends), faq, was_down
+    (the user's last message before it that is no small talk is a thumbs-down), kept (a history may hold it) and,
+    for ``n`` above 0, lines (the last ``n`` kept messages up to a kept one).
+
+    A segmented scan. A block of ``block`` turns is read by itself first; what it cannot know without the blocks before
+    it are the feedback flag and the question flag it starts with, so each message gets a code, and each block one
+    state: the flags it ends with and the last lines of every code. Running the states of a user's blocks in order
+    gives every block its two flags and the lines before it; one join hands them to the messages. No task holds
+    more than a block, or one row per block of a user.
+
+    Kept are users' questions and the answers to them, not small talk, thumbs, their details, and answers to these or
+    to nothing. Where ``msgs`` has a column ``asked``, its values say whether a user message was a question; where it
+    has ``held``, true says that a message is kept. Null text of a user changes no state."""
+    known = lambda name: F.col(name) if name in msgs.columns else F.lit(None).cast("boolean")
+    own = F.col("role") == "user"
+    text = F.when(own, strip(F.col("text"))).otherwise(F.col("text"))
+    rows = (msgs.select("user", "turn", "role", text.alias("text"), known("asked").alias("asked"), known("held").alias("held"),
+                        F.floor(F.col("turn") / F.lit(block)).alias("_block"))
+            .withColumn("faq", F.when(own, faq_intent(F.col("text"), assistant_names))))
+    inside = Window.partitionBy("user", "_block").orderBy("turn", F.col("role").desc())
+    down = F.when(own & F.col("faq").isNull(), F.col("text") == DOWN)
+    rows = rows.withColumn("_down", down).withColumn(
+        "_before", F.last("_down", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    plain = F.col("faq").isNull() & ~F.coalesce(F.col("text").isin(DOWN, UP), F.lit(False))
+    asks = (F.when(F.col("asked").isNotNull(), F.when(F.col("asked"), _YES).otherwise(_NO))
+            .when(~plain, _NO).when(F.col("_before").isNull(), _UNLESS_DOWN).when(F.col("_before"), _NO).otherwise(_YES))
+    rows = rows.withColumn("_asks", F.when(own, asks))
+    so_far = F.last("_asks", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    worth = F.when(F.coalesce("held", F.lit(False)), _YES).otherwise(F.coalesce(so_far, F.lit(_IF_ASKED)))
+    rows = rows.withColumn("_worth", worth).drop("asked", "held")
+    line = F.concat(F.when(own, "User: ").otherwise("AI: "), F.coalesce("text", F.lit("")))
+    if n:
+        rows = rows.withColumn("_line", F.struct("turn", (~own).alias("late"), line.alias("line")))
+
+    states = _block_states(rows, n)
+    same = rows["user"].eqNullSafe(states["_user"]) & rows["_block"].eqNullSafe(states["_of"])
+    out = rows.join(states, same).drop("_user", "_of")
+    out = (out.withColumn("was_down", F.coalesce("_before", "_starts_down"))
+           .withColumn("kept", _is_kept(F.col("_worth"))))
+    columns = ["user", "turn", "role", "text", "faq", "was_down", "kept"]
+    if n:
+        frame = (Window.partitionBy("user", "_block", "kept").orderBy("turn", F.col("role").desc()).rowsBetween(-(n - 1), Window.currentRow))
+        lines = F.concat(F.transform("_earlier", lambda x: x["line"]), F.collect_list("_line.line").over(frame))
+        out = out.withColumn("lines", F.when(F.col("kept"), _last(lines, n)))
+        columns.append("lines")
+    return out.select(*columns)
+
+
+def _is_kept(worth: Column) -> Column:
+    return ((worth == _YES) | ((worth == _UNLESS_DOWN) & ~F.col("_starts_down")) | ((worth == _IF_ASKED) & F.col("_starts_asked")))
+
+
+def _last(array: Column, n: int) -> Column:
+    return F.when(F.size(array) > n, F.slice(array, -n, n)).otherwise(array) if n else F.slice(array, 1, 0)
+
+
+def _block_states(rows: DataFrame, n: int) -> DataFrame:
+    """One row per block: _user, _of (the block), _starts_down, _starts_asked and, for ``n``, _earlier (the ``n - 1`` kept
+    lines before it)."""
+    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("turn", F.col(c).alias("v"))))["v"]
+    ends = [latest("_down").alias("_down"), latest("_asks").alias("_asks")]
+    if n > 1:
+        back = Window.partitionBy("user", "_block", "_worth").orderBy(F.col("turn").desc(), "role")
+        rows = rows.withColumn("_rank", F.row_number().over(back))
+        near = F.when((F.col("_rank") < n) & (F.col("_worth") != _NO), F.struct("_line", "_worth"))
+        ends.append(F.collect_list(near).alias("_tail"))
+    blocks = rows.groupBy("user", "_block").agg(*ends)
+    order = Window.partitionBy("user").orderBy("_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(False))
+    blocks = blocks.withColumn("_starts_down", running(F.col("_down")))
+    asked = F.when(F.col("_asks") == _UNLESS_DOWN, ~F.col("_starts_down")).otherwise(F.col("_asks") == _YES)
+    blocks = blocks.withColumn("_ends_asked", asked).withColumn("_starts_asked", running(F.col("_ends_asked")))
+    out = [F.col("user").alias("_user"), F.col("_block").alias("_of"), "_starts_down", "_starts_asked"]
+    if n > 1:
+        kept = F.transform(F.filter("_tail", lambda x: _is_kept(x["_worth"])), lambda x: x["_line"])
+        blocks = blocks.withColumn("_tail", _last(F.array_sort(kept), n - 1))
+        blocks = blocks.withColumn("_no", F.coalesce(F.sum(F.size("_tail")).over(before), F.lit(0)))
+        # the blocks that can hold the n - 1 lines before this one: by the running number of lines, empty ones left out
+        reach = Window.partitionBy("user").orderBy("_no").rangeBetween(-2 * (n - 1), Window.currentRow)
+        held = F.when(F.size("_tail") > 0, F.struct("_block", "_tail"))
+        blocks = blocks.withColumn("_near", F.collect_list(held).over(reach))
+        earlier = F.array_sort(F.filter("_near", lambda x: x["_block"] < F.col("_block")))
+        out.append(_last(F.flatten(F.transform(earlier, lambda x: x["_tail"])), n - 1).alias("_earlier"))
+    elif n:
+        out.append(F.array().cast("array<struct<turn:long,late:boolean,line:string>>").alias("_earlier"))
+    return blocks.select(*out)
+
+
+def intent() -> Column:
+    """Of a user message of ``conversation``."""
+    return (F.when(F.col("faq").isNotNull(), F.col("faq")).when(F.col("text") == DOWN, "feedback_down")
+            .when(F.col("was_down"), "feedback_detail").when(F.col("text") == UP, "feedback_up").otherwise("question"))
+
+
 def chat_routing(msgs: DataFrame, assistant_names: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """Intent of each user message. Small talk leaves the feedback state alone; over the other
     messages, the one right after a thumbs-down is its detail, unless it is a thumbs-down again."""
-    said = (msgs.filter(F.col("role") == "user").select("user", "turn", strip(F.col("text")).alias("text"))
-            .withColumn("faq", faq_intent(F.col("text"), assistant_names)))
-    rows = with_carry(said, "user", "turn", n=1, block=block, relevant=F.col("faq").isNull())
-    before = (Window.partitionBy("user", "_block").orderBy("turn")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    # the state is the last message before this one that is no small talk
-    was_down = F.last(F.when(F.col("faq").isNull(), F.col("text") == DOWN), ignorenulls=True).over(before)
-    flagged = rows.withColumn("was_down", F.coalesce(was_down, F.lit(False))).filter(~F.col("_carried"))
-    intent = (F.when(F.col("faq").isNotNull(), F.col("faq")).when(F.col("text") == DOWN, "feedback_down")
-              .when(F.col("was_down"), "feedback_detail").when(F.col("text") == UP, "feedback_up")
-              .otherwise("question"))
-    return flagged.select("user", "turn", "text", intent.alias("intent"))
+    said = conversation(msgs.filter(F.col("role") == "user"), 0, block, assistant_names)
+    return said.select("user", "turn", "text", intent().alias("intent"))
 
 
 def chat_intent_counts(routed: DataFrame, by: Sequence[str] = ("user",)) -> DataFrame:
@@ -66,36 +156,19 @@ def chat_intent_counts(routed: DataFrame, by: Sequence[str] = ("user",)) -> Data
     return routed.groupBy(*by, "intent").agg(F.count(F.lit(1)).alias("message_count"))
 
 
+def _talk(msgs: DataFrame) -> DataFrame:
+    return msgs.filter(F.col("role").isin("user", "assistant"))
+
+
 def retained(msgs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The messages that a history may hold: the users' questions and the answers to them. Small talk, thumbs,
-    their details and the canned replies to these are left out, as are answers to nothing. A column ``asked``
-    of ``msgs``, where not null, says whether that user message was a question."""
-    routed = chat_routing(msgs, block=block).select(
-        "user", "turn", F.col("text").alias("said"), (F.col("intent") == "question").alias("_question"))
-    known = [F.col("asked")] if "asked" in msgs.columns else []
-    own = F.col("role") == "user"
-    talk = (msgs.filter(F.col("role").isin("user", "assistant")).join(routed, ["user", "turn"], "left")
-            .select("user", "turn", "role", F.coalesce(F.when(own, F.col("said")).otherwise(F.col("text")), F.lit("")).alias("text"),
-                    F.when(own, F.coalesce(*known, "_question")).alias("asked")))
-    rows = with_carry(talk, "user", "turn", n=1, block=block, relevant=own)
-    so_far = (Window.partitionBy("user", "_block").orderBy("turn", F.col("role").desc())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    answered = F.coalesce(F.last("asked", ignorenulls=True).over(so_far), F.lit(False))
-    return rows.withColumn("asked", answered).filter(F.col("asked") & ~F.col("_carried")).select("user", "turn", "role", "text")
+    """The messages that a history may hold: the users' questions and the answers to them (``conversation``)."""
+    return conversation(_talk(msgs), 0, block).filter("kept").select("user", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def chat_history(msgs: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:
     """Per retained message, the last ``n`` of them up to and with it as one text."""
-    return history_of(retained(msgs, block), n, block)
-
-
-def history_of(kept: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:
-    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("AI: "), "text")
-    rows = with_carry(kept.select("user", "turn", line.alias("line")), "user", "turn", n=n - 1, block=block)
-    frame = Window.partitionBy("user", "_block").orderBy("turn").rowsBetween(-(n - 1), Window.currentRow)
-    lines = F.collect_list("line").over(frame)
-    return (rows.withColumn("history", F.array_join(lines, "\n")).withColumn("messages", F.size(lines))
-            .filter(~F.col("_carried")).select("user", "turn", "messages", "history"))
+    return conversation(_talk(msgs), n, block).filter("kept").select(
+        "user", "turn", F.size("lines").alias("messages"), F.array_join("lines", "\n").alias("history"))
 
 
 def chat_latest_user(msgs: DataFrame, n: int = HISTORY, block: int = BLOCK) -> DataFrame:

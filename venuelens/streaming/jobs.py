@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from venuelens.functions.text import strip
-from venuelens.operators.chat import chat_routing, faq_intent, history_of, retained
+from venuelens.operators.chat import conversation, intent
 from venuelens.operators.ingest import alert_messages, alerts_select, insert_new
 from venuelens.operators.skew import top_k
 from venuelens.operators.summary import star_counts
@@ -132,33 +131,32 @@ def stream_chat(src: DataFrame, sink: str, checkpoint: str, n: int = 7, parts: i
         paths = [f"{tails}/part={p}/batch_id={max(v)}" for p, v in newest.items()]
         old = session.read.schema(state).parquet(*paths) if paths else session.createDataFrame([], state)
         users = batch.select("user").distinct()
-        here = old.join(users, "user", "left_semi")
-        plain = batch.drop("part").withColumn("asked", F.lit(None).cast("boolean"))
-        new = batch.select("user", "turn")
-        # one row per message, though a message can be kept for both reasons
-        said = here.filter(F.col("kept_for") == "state").drop("kept_for").dropDuplicates(["user", "turn"]).unionByName(plain)
-        routed = chat_routing(said).join(new, ["user", "turn"], "left_semi").persist()
-        fresh = retained(said).join(new, ["user", "turn"], "left_semi")
-        kept = here.filter(F.col("kept_for") == "history").select("user", "turn", "role", "text").unionByName(fresh).persist()
-        history = history_of(kept, n).join(new, ["user", "turn"], "left_semi")
-        _write_batch(routed.select("user", "turn", "intent").join(history, ["user", "turn"], "full")
-                     .select("user", "turn", "messages", "history", "intent"), f"{sink}/out", batch_id)
-
-        talk = top_k(kept, ["user"], [F.col("turn").desc()], n, "_r").select(
-            "user", "turn", "role", "text", F.lit(None).cast("boolean").alias("asked"), F.lit("history").alias("kept_for"))
-        own = (said.filter(F.col("role") == "user").join(routed.select("user", "turn", "intent"), ["user", "turn"], "left")
-               .withColumn("asked", F.coalesce("asked", F.col("intent") == "question"))
-               .withColumn("light", faq_intent(strip(F.col("text"))).isNotNull()))
-        last = top_k(own, ["user", "light"], [F.col("turn").desc()], 1, "_r").select(
-            "user", "turn", "role", "text", "asked", F.lit("state").alias("kept_for"))
+        # one row per stored message, though it can be kept for both reasons
+        held = F.col("kept_for") == "history"
+        here = (old.join(users, "user", "left_semi").groupBy("user", "turn", "role").agg(
+            F.max("text").alias("text"), F.max("asked").alias("asked"), F.max(held).alias("held"))
+            .withColumn("asked", F.coalesce("asked", F.when(F.col("role") == "user", F.col("held")))))
+        talk = conversation(here.unionByName(batch.drop("part").filter(F.col("role").isin("user", "assistant")),
+                                             allowMissingColumns=True), n).persist()
+        own = F.col("role") == "user"
+        shown = talk.join(batch.select("user", "turn"), ["user", "turn"], "left_semi").filter(own | F.col("kept"))
+        _write_batch(shown.select("user", "turn", F.size("lines").alias("messages"), F.array_join("lines", "\n").alias("history"),
+                                  F.when(own, intent()).alias("intent")), f"{sink}/out", batch_id)
+
+        kept = top_k(talk.filter("kept"), ["user"], [F.col("turn").desc()], n, "_r").select(
+            "user", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("boolean").alias("asked"),
+            F.lit("history").alias("kept_for"))
+        said = talk.filter(own).withColumn("light", F.col("faq").isNotNull())
+        last = top_k(said, ["user", "light"], [F.col("turn").desc()], 1, "_r").select(
+            "user", "turn", "role", "text", F.col("kept").alias("asked"), F.lit("state").alias("kept_for"))
         rest = old.join(users, "user", "left_anti")
-        (rest.unionByName(talk).unionByName(last).withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"))
+        (rest.unionByName(kept).unionByName(last).withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"))
          .withColumn("batch_id", F.lit(batch_id)).repartition("part").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch_id").parquet(tails))
         for p, have in newest.items():
             for spent in sorted(have)[:-1]:
                 _drop_path(session, f"{tails}/part={p}/batch_id={spent}")
-        for used in (kept, routed, batch):
+        for used in (talk, batch):
             used.unpersist()
 
     return (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
