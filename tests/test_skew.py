@@ -78,9 +78,11 @@ def test_value_lookup_is_exact(spark, hot_values):
     terms = words[:30] + ["zz", "abx", "", "nothing"]
     v = spark.createDataFrame(sorted(set(vocab)), "kind string, value string")
     t = spark.createDataFrame([(w,) for w in terms], "term string")
-    got = {}
-    for r in lookup.value_lookup(t, v, k=5, hot_values=hot_values).collect():
-        got.setdefault(r.term, []).append((r["rank"], r.value, r.kind))
+    got, joined = {}, {}
+    for to, find in ((got, lookup.value_lookup), (joined, lookup.value_lookup_join)):
+        for r in find(t, v, k=5, hot_values=hot_values).collect():
+            to.setdefault(r.term, []).append((r["rank"], r.value, r.kind))
+    assert {term: sorted(r) for term, r in joined.items()} == {term: sorted(r) for term, r in got.items()}
     for term in set(terms):
         scored = []
         for kind, value in set(vocab):
@@ -172,3 +174,21 @@ def test_chat_history_reads_its_table_twice_at_most(spark, tmp_path):
     spark.createDataFrame([("u", 1, "user", "q")], "user string, turn long, role string, text string").write.parquet(str(tmp_path / "m"))
     plan = chat_history(spark.read.parquet(str(tmp_path / "m")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2
+
+
+def test_inverted_file_is_exact_and_skips_far_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=12)).astype("float32").tolist(), 1 + i % 3, f"2024-01-{1 + i % 20:02d}") for i in range(3000)]
+    rows += [(5000 + i, rows[7][1], 1, "2024-01-03") for i in range(30)]  # copies tie
+    corpus = spark.createDataFrame(rows, "id long, embedding array<float>, rating int, day string").select(
+        "id", "embedding", "rating", F.col("day").cast("date").alias("day"), F.lit("t").alias("page_content"))
+    asked = [(i, rows[i * 31 % 3000][1], "1,2" if i % 2 else "3", "2024-01-02", "2024-01-12" if i % 7 else "2024-01-01") for i in range(60)]
+    requests = spark.createDataFrame(asked, "request_id long, embedding array<float>, rating string, start_date string, end_date string")
+    as_rows = lambda d: sorted((r.request_id, r["rank"], r.id, r.score) for r in d.collect())
+    want = as_rows(retrieval.knn_filtered(requests, corpus))
+    assert as_rows(retrieval.knn_ivf(requests, corpus)) == want
+    assert as_rows(retrieval.knn_ivf(requests, corpus, cells=3, probes=1, block_rows=100, block_queries=7)) == want
+    scored = [r.scored for r in retrieval.knn_ivf(requests, corpus, cells=80, probes=2, counts=True).collect()]
+    assert sum(scored) / len(scored) < 0.1 * len(rows)
+    assert retrieval.knn_ivf(requests, corpus.limit(0)).count() == 0 and retrieval.knn_ivf(requests.limit(0), corpus).count() == 0

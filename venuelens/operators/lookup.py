@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, MinHashLSH
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,22 +81,47 @@ def value_lookup(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int
     return first.join(open_terms, "term", "left_anti").unionByName(_rank(_compared(again), vocab, k).select(*first.columns))
 
 
-def value_lookup_lsh(terms: DataFrame, vocab: DataFrame, k: int = 8, tables: int = 32,
-                     n_features: int = 1 << 16, seed: int = 7) -> DataFrame:
-    """The same ranking over candidates that share a MinHash of their trigrams."""
-    t = (terms.select("term").filter(F.col("term").isNotNull()).distinct()
-         .withColumn("grams", T.trigrams(F.col("term"))))
+PREFIX = 3  # rarest trigrams of a term that its first candidates must share one of
+
+
+def _by_rarity(index: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """(key, all, known, gram, pos): the trigrams of each key that some value has, rarest first, numbered from 0; ``all``
+    counts its trigrams, ``known`` those listed."""
+    found = index.join(counts, "gram").groupBy(key, "all").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    return T.each(found.withColumn("known", F.size("g")), F.col("g"), "x", "pos").select(
+        key, "all", "known", F.col("x.gram").alias("gram"), "pos")
+
+
+def value_lookup_join(terms: DataFrame, vocab: DataFrame, k: int = 8, hot_values: int = 1000) -> DataFrame:
+    """The rows of ``value_lookup`` by a prefix-filtered top-k set join.
+
+    Trigrams of both sides are ordered by rarity. A term first meets the values that share one of its PREFIX rarest
+    trigrams; the ``k``-th score among them is its threshold, which only rises from there. A value met first at place i
+    of the term and j of itself shares at most min(known - i, n - j) trigrams, so only places at which that can still reach
+    the threshold are joined, whatever the length of the value. A trigram that many values have is met there by few
+    terms, and is spread by salt. Null and repeated terms are left out; an empty side gives no rows."""
     vocab = kept(vocab)
-    v = vocab.select("value").distinct().withColumn("grams", T.trigrams(F.col("value")))
-    model = Pipeline(stages=[
-        HashingTF(inputCol="grams", outputCol="features", numFeatures=n_features, binary=True),
-        MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed)]).fit(t)
-
-    def keys(df: DataFrame) -> DataFrame:
-        each = model.transform(df).select(df.columns[0], "grams", F.posexplode("hashes").alias("table", "h"))
-        return each.select(df.columns[0], "grams", "table", vector_to_array("h")[0].alias("mark"))
-
-    pairs = (keys(t).withColumnRenamed("grams", "tg")
-             .join(keys(v).withColumnRenamed("grams", "vg"), ["table", "mark"])
-             .select("term", "tg", "value", "vg").distinct())
-    return _rank(_compared(pairs), vocab, k)
+    t = (terms.select("term").filter(F.col("term").isNotNull()).distinct().withColumn("tg", T.trigrams(F.col("term"))))
+    v = vocab.select("value").distinct().withColumn("vg", T.trigrams(F.col("value")))
+    v_index = T.each(v, F.col("vg"), "gram").select("value", F.size("vg").alias("all"), "gram")
+    counts = v_index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    salts = counts.select("gram", F.ceil(F.col("n") / hot_values).cast("int").alias("salts"))
+    t_index = _by_rarity(T.each(t, F.col("tg"), "gram").select("term", F.size("tg").alias("all"), "gram"), counts, "term")
+    salt = F.pmod(F.xxhash64("value"), F.col("salts")).cast("int")
+    values = (_by_rarity(v_index, counts, "value").join(salts, "gram").select(
+        "value", "gram", F.col("all").alias("n"), F.col("pos").alias("j"), salt.alias("salt")))
+
+    def met(side: DataFrame) -> DataFrame:
+        return (side.join(salts, "gram").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                .drop("salts").join(values, ["gram", "salt"]))
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        return _compared(pairs.select("term", "value").distinct().join(t, "term").join(v, "value"))
+
+    first = kept(overlaps(met(t_index.filter(F.col("pos") < PREFIX))))
+    reached = _rank(first, vocab, k).filter(F.col("rank") == k).select("term", F.col("jaccard").alias("least"))
+    most = F.least(F.col("known") - F.col("pos"), F.col("n") - F.col("j"))
+    can = lambda size: F.col("known") - F.col("pos") >= F.coalesce("least", F.lit(0.0)) * size - 1e-9
+    rest = t_index.filter(F.col("pos") >= PREFIX).join(reached, "term", "left").filter(can(F.col("all")))
+    later = met(rest).filter(most >= F.coalesce("least", F.lit(0.0)) * (F.col("all") + F.col("n") - most) - 1e-9)
+    return _rank(first.unionByName(overlaps(later.join(first, ["term", "value"], "left_anti"))), vocab, k)

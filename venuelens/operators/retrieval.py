@@ -7,10 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (
-    IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,40 +100,134 @@ def _with_content(hits: DataFrame, corpus: DataFrame) -> DataFrame:
         "request_id", "rank", "id", "page_content", "rating", "day", "score")
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
-
-
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, tables: int = 12,
-            bucket_length: float = 1.2, seed: int = 11, salt_rows: int = 50_000) -> DataFrame:
-    """Approximate ``knn_filtered``: a review is a candidate when it passes the filter and shares a
-    random-projection bucket with the request. Candidates are scored exactly. Large
-    (table, bucket, rating, day) groups are spread by salt."""
-    def unit(df: DataFrame) -> DataFrame:
-        vec = array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-        return df.withColumn("features", vec)
-
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables,
-                                      bucketLength=bucket_length, seed=seed)
-    model = lsh.fit(unit(corpus.select("embedding")))
-
-    def buckets(df: DataFrame, keep: list[str]) -> DataFrame:
-        each = model.transform(unit(df)).select(*keep, F.posexplode("hashes").alias("table", "h"))
-        return each.select(*keep, "table", vector_to_array("h")[0].alias("bucket"))
-
-    keys = ["rating", "day", "table", "bucket"]
-    c = buckets(corpus, ["id", "rating", "day"])
-    salts = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
-    c = c.join(salts, keys).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    marks = buckets(queries.select("request_id", "embedding"), ["request_id"])
-    q = (request_cells(queries).select("request_id", "rating", "day").join(marks, "request_id").join(salts, keys)
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    pairs = q.join(c, [*keys, "salt"]).select("request_id", "id").distinct()
-    scored = (pairs.join(queries.select("request_id", F.col("embedding").alias("qvec")), "request_id")
-              .join(corpus.select("id", F.col("embedding").alias("vec")), "id")
-              .select("request_id", "id", F.round(cosine("qvec", "vec"), SCORE_DIGITS).alias("score")))
-    return _with_content(top_k(scored, ["request_id"], [F.col("score").desc(), F.col("id")], k), corpus)
+SAMPLE_VECTORS = 20_000  # vectors, drawn by a hash of their id, that centroids are fitted on
+CELLS = 4096             # at most; sqrt of the number of vectors otherwise
+
+
+def fit_centroids(corpus: DataFrame, cells: int | None = None, sample: int = SAMPLE_VECTORS, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of spherical k-means, fitted on a sample of about ``sample`` vectors (at most that many reach the
+    driver). They only steer the search: any centroids give the same results."""
+    n = corpus.count()
+    share = min((1 << 64) * min(sample, n) // max(n, 1), (1 << 64) - 1) - (1 << 63)
+    rows = corpus.filter(F.xxhash64("id") <= share).select("id", "embedding").orderBy("id").limit(sample).toPandas()
+    if rows.empty:
+        return np.zeros((0, 0))
+    x = _unit(rows["embedding"])
+    k = min(cells or int(np.ceil(np.sqrt(n))), CELLS, len(x))
+    c = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 0, sums / np.where(length > 0, length, 1), c)
+    return c
+
+
+def inverted_file(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """The rows of ``corpus`` with their cell (the nearest centroid) and the angle to it."""
+    def run(batches):
+        for rows in batches:
+            if len(rows):
+                near = np.clip(_unit(rows["embedding"]) @ centroids.T, -1, 1)
+                cell = near.argmax(axis=1)
+                yield rows.assign(cell=cell.astype(np.int32), angle=np.arccos(near[np.arange(len(rows)), cell]))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema)
+    return corpus.mapInPandas(run, f"{fields}, cell int, angle double")
+
+
+def _best_of_cell(k: int):
+    """Scores the requests of a block against the vectors of a block, those that pass a request's filter and whose
+    distance bound reaches its threshold; returns ``k`` per request and how many were scored."""
+    empty = pd.DataFrame({"query_id": [], "id": [], "score": [], "scored": []}).astype(
+        {"query_id": "int64", "id": "int64", "score": "float64", "scored": "int64"})
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return empty
+        c = c.sort_values("id")
+        days = c["day"].to_numpy(dtype="datetime64[D]")
+        vectors, ids = _unit(c["vec"]), c["id"].to_numpy()
+        unit = _unit(q["qvec"])
+        out = []
+        for i, row in enumerate(q.itertuples(index=False)):
+            good = c["rating"].isin(row.ratings).to_numpy() & (days >= np.datetime64(row.first_day)) & (days <= np.datetime64(row.last_day))
+            # two vectors are at least as far apart as their angles to the centroid differ
+            good &= np.cos(np.abs(c["angle"].to_numpy() - row.angle)) >= row.least - 1e-6
+            at = np.flatnonzero(good)
+            score = np.round(vectors[at] @ unit[i], SCORE_DIGITS)
+            best = np.argsort(-score, kind="stable")[:k]
+            if len(best):
+                out.append(pd.DataFrame({"query_id": row.query_id, "id": ids[at[best]], "score": score[best], "scored": [len(at), *[0] * (len(best) - 1)]}))
+        return pd.concat(out, ignore_index=True) if out else empty
+    return run
+
+
+def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int | None = None, probes: int = 4,
+            block_rows: int = 20_000, block_queries: int = 1_000, counts: bool = False) -> DataFrame:
+    """The rows of ``knn_filtered`` through an inverted file: vectors lie in the cell of their nearest centroid. A request
+    first probes the ``probes`` nearest cells; its ``k``-th score there is a threshold, and of the other cells it only
+    probes those in which the distance bound (the cell's widest angle about its centroid) leaves room for a better
+    score, and in them scores only vectors whose own bound does. So nothing is missed, and how much is skipped depends on
+    how the vectors cluster. Cells and requests are cut into blocks of bounded size. With ``counts`` the result is one
+    row per request with the number of vectors scored for it. A request whose range ends before it starts gives none."""
+    centroids = fit_centroids(corpus, cells)
+    schema = "request_id long, rank int, id long, page_content string, rating int, day date, score double"
+    if not len(centroids):
+        return corpus.sparkSession.createDataFrame([], "request_id long, scored long" if counts else schema)
+    shared_dir(corpus.sparkSession)
+    index = inverted_file(corpus.select("id", "rating", "day", F.col("embedding").alias("embedding")), centroids).withColumnRenamed(
+        "embedding", "vec").checkpoint()
+    # one row per cell, at most CELLS
+    widest = {r["cell"]: r["w"] for r in index.groupBy("cell").agg(F.max("angle").alias("w")).collect()}
+    held = np.array(sorted(widest), np.int64)
+    radius = np.array([widest[c] for c in held])
+
+    def probe(first: bool):
+        def run(batches):
+            for rows in batches:
+                if not len(rows):
+                    continue
+                angle = np.arccos(np.clip(_unit(rows["qvec"]) @ centroids[held].T, -1, 1))
+                order = np.argsort(angle, axis=1, kind="stable")
+                near = np.zeros(angle.shape, bool)
+                np.put_along_axis(near, order[:, :probes], True, axis=1)
+                if first:
+                    wanted = near
+                else:
+                    bound = np.cos(np.maximum(angle - radius, 0))
+                    wanted = ~near & (bound >= rows["least"].to_numpy()[:, None] - 1e-6)
+                i, j = np.nonzero(wanted)
+                yield rows.iloc[i].assign(cell=held[j].astype(np.int32), angle=angle[i, j])
+        return run
+
+    ratings = F.filter(F.array_distinct(F.transform(F.split("rating", ",", -1), lambda r: F.trim(r).try_cast("int"))), lambda r: r.isNotNull())
+    asked = (queries.select(F.col("request_id").alias("query_id"), F.col("embedding").alias("qvec"), ratings.alias("ratings"),
+                            F.col("start_date").cast("date").alias("first_day"), F.col("end_date").cast("date").alias("last_day"))
+             .filter("last_day >= first_day"))
+    q_schema = "query_id long, qvec array<float>, ratings array<int>, first_day date, last_day date, least double, cell int, angle double"
+
+    def scored(side: DataFrame) -> DataFrame:
+        sizes = lambda df, per, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+        grid = sizes(index.select("cell"), block_rows, "nc").join(sizes(side.select("cell"), block_queries, "nq"), "cell")
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        c = index.join(grid, "cell").withColumn("cb", own("id", "nc")).withColumn("qb", upto("nq")).drop("nc", "nq")
+        q = side.join(grid, "cell").withColumn("qb", own("query_id", "nq")).withColumn("cb", upto("nc")).drop("nc", "nq")
+        keys = ["cell", "cb", "qb"]
+        return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_best_of_cell(k), "query_id long, id long, score double, scored long")
+
+    none = F.lit(-2.0).alias("least")  # below every cosine
+    near = scored(asked.select("*", none).mapInPandas(probe(True), q_schema)).checkpoint()
+    best = [F.col("score").desc(), F.col("id")]
+    kth = top_k(near, ["query_id"], best, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    far = scored(rest.select(*asked.columns, "least").mapInPandas(probe(False), q_schema).checkpoint())
+    found = near.unionByName(far)
+    if counts:
+        return found.groupBy(F.col("query_id").alias("request_id")).agg(F.sum("scored").alias("scored"))
+    return _with_content(top_k(found.drop("scored"), ["query_id"], best, k).withColumnRenamed("query_id", "request_id"), corpus)
 
 
 def answer_context(hits: DataFrame) -> DataFrame:

@@ -519,6 +519,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT term, value, kind, round(j, 6) AS jaccard, CAST(distance AS INTEGER) AS distance, CAST(n AS INTEGER) AS rank FROM
       (SELECT *, row_number() OVER (PARTITION BY term ORDER BY j DESC, distance, value, kind) AS n FROM scored) WHERE n <= 8"""
     out["knn_filtered"] = w + KNN + " SELECT * FROM knn"
+    out["knn_lsh"], out["value_lookup_lsh"] = out["knn_filtered"], out["value_lookup"]
     out["answer_context"] = w + KNN + """ SELECT request_id, CAST(count(*) AS INTEGER) AS hits, string_agg(coalesce(page_content, ''), chr(10) ORDER BY rank) AS context,
       string_agg(printf('%.9f', score), ',' ORDER BY rank) AS scores FROM knn GROUP BY 1"""
 

@@ -404,7 +404,8 @@ def value_lookup(s, d):
 
 @query
 def value_lookup_lsh(s, d):
-    return lookup.value_lookup_lsh(v.misspelt_terms(s, d), vocabulary(s, d)).withColumn("jaccard", F.round("jaccard", 6))
+    # the name is that of an earlier, approximate form
+    return lookup.value_lookup_join(v.misspelt_terms(s, d), vocabulary(s, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query
@@ -414,7 +415,8 @@ def knn_filtered(s, d):
 
 @query
 def knn_lsh(s, d):
-    return retrieval.knn_lsh(v.requests(s, d), v.vectors(s, d))
+    # the name is that of an earlier, approximate form
+    return retrieval.knn_ivf(v.requests(s, d), v.vectors(s, d))
 
 
 @query
