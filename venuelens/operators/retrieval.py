@@ -147,25 +147,28 @@ def _best_of_cell(k: int):
         if q.empty or c.empty:
             return empty
         c = c.sort_values("id")
-        days = c["day"].to_numpy(dtype="datetime64[D]")
-        vectors, ids = _unit(c["vec"]), c["id"].to_numpy()
-        unit = _unit(q["qvec"])
-        out = []
-        for i, row in enumerate(q.itertuples(index=False)):
-            good = c["rating"].isin(row.ratings).to_numpy() & (days >= np.datetime64(row.first_day)) & (days <= np.datetime64(row.last_day))
-            # two vectors are at least as far apart as their angles to the centroid differ
-            good &= np.cos(np.abs(c["angle"].to_numpy() - row.angle)) >= row.least - 1e-6
-            at = np.flatnonzero(good)
-            score = np.round(vectors[at] @ unit[i], SCORE_DIGITS)
-            best = np.argsort(-score, kind="stable")[:k]
-            if len(best):
-                out.append(pd.DataFrame({"query_id": row.query_id, "id": ids[at[best]], "score": score[best], "scored": [len(at), *[0] * (len(best) - 1)]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+        scores = np.round(_unit(q["qvec"]) @ _unit(c["vec"]).T, SCORE_DIGITS)
+        # two vectors are at least as far apart as their angles to the centroid differ
+        apart = np.abs(q["angle"].to_numpy()[:, None] - c["angle"].to_numpy())
+        good = np.cos(apart) >= q["least"].to_numpy()[:, None] - 1e-6
+        day, first, last = (x.to_numpy(dtype="datetime64[D]") for x in (c["day"], q["first_day"], q["last_day"]))
+        good &= (day >= first[:, None]) & (day <= last[:, None])
+        rated = np.zeros(good.shape, bool)
+        for rating in c["rating"].dropna().unique():
+            wants = np.array([rating in r for r in q["ratings"]])
+            rated |= wants[:, None] & (c["rating"] == rating).to_numpy()
+        good &= rated
+        scores[~good] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row, col = np.nonzero(np.take_along_axis(good, best, axis=1))
+        at = best[row, col]
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "id": c["id"].to_numpy()[at], "score": scores[row, at],
+                             "scored": np.where(col == 0, good.sum(axis=1)[row], 0)})
     return run
 
 
 def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int | None = None, probes: int = 4,
-            block_rows: int = 20_000, block_queries: int = 1_000, counts: bool = False) -> DataFrame:
+            block_rows: int = 20_000, block_queries: int = 250, counts: bool = False) -> DataFrame:
     """The rows of ``knn_filtered`` through an inverted file: vectors lie in the cell of their nearest centroid. A request
     first probes the ``probes`` nearest cells; its ``k``-th score there is a threshold, and of the other cells it only
     probes those in which the distance bound (the cell's widest angle about its centroid) leaves room for a better
