@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -303,3 +304,32 @@ def test_pipeline_keeps_columns_and_follows_each_stage(spark):
         assert out.count() <= before
         docs, before = out, out.count()
     assert {"taken", "position"} <= set(docs.columns)
+
+
+def test_long_texts_and_all_languages_are_learnt(spark):
+    rng = random.Random(8)
+    codes = [f"x{i:03d}" for i in range(300)]
+    words = {c: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3)] for c in codes}
+    rows = [(i, " ".join(rng.choices(words[codes[i % 300]], k=30)), codes[i % 300]) for i in range(900)]
+    rows += [(1000 + i, "ωω ψψ " * 30_000, "long") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_rows=300)
+    learnable = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}  # the others are held out
+    assert len(learnable) > 290 and set(model.languages) == learnable and model.predict("ωω ψψ")[0] == "long"
+    assert langid.drawn(4000, 10 ** 10) > -(1 << 63) and langid.drawn(5, 3) == langid.drawn(7, 7) == (1 << 63) - 1
+    drawn = langid.drawn(1000, 10 ** 10) + (1 << 63)
+    assert abs(drawn / (1 << 64) * 10 ** 10 - 1000) < 1
+    labels = spark.createDataFrame([(i, int(i >= 1000), 0) for i, *_ in rows[::30] + rows[-5:]], "doc_id long, quality int, toxic int")
+    net = quality_cnn.fit(df, labels)
+    assert net.score("ωω ψψ " * 40) > 0.5 > net.score(rows[0][1])
+
+
+def test_pipeline_on_empty_unlabelled_and_edge_rows(spark, edges, empty):
+    import corpus_pipeline
+    for docs, kept in ((empty, 0), (edges.withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.length("text")), None)):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = corpus_pipeline.stored(stage(spark, docs, SF), f"edges-{name}")
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            docs = out
+        assert kept is None or docs.count() == kept
