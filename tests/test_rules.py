@@ -281,3 +281,14 @@ def test_digest(spark):
 def test_prompt(spark):
     df = spark.createDataFrame([("Ann", None)], "name string, x string")
     assert themes.prompt_batch(df, "Dear {name}: {x}!").first().prompt == "Dear Ann: !"
+
+
+def test_wait_percentiles_come_from_merged_days(spark):
+    from datetime import datetime, timedelta
+    start = datetime(2024, 1, 5, 23, 50)
+    waits = [0, 0, 1, 2, 3, 5, 8, 13, 90, 90]
+    rows = [(start + timedelta(days=i % 3), start + timedelta(days=i % 3, minutes=w), "A") for i, w in enumerate(waits)]
+    rows += [(start, start + timedelta(seconds=59), "B"), (start, None, "B"), (start, start + timedelta(minutes=4), None), (start - timedelta(days=9), start, "A")]
+    days = sales.seating_delay_days(spark.createDataFrame(rows, "booking_time timestamp_ntz, seated_time timestamp_ntz, sections string"))
+    got = {r.sections: (r.seated, r.p50, r.p90, r.p99) for r in sales.seating_delay_percentiles(days, date(2024, 1, 5), date(2024, 1, 9)).collect()}
+    assert got == {"A": (10, 3, 90, 90), "B": (1, 0, 0, 0), None: (1, 4, 4, 4)}

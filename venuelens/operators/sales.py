@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens.functions import clock
@@ -115,6 +115,25 @@ def seating_delay(f: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("seated"), F.round(F.avg("wait"), 4).alias("average_wait"), F.max("wait").alias("longest_wait"))
 
 
+def seating_delay_days(f: DataFrame) -> DataFrame:
+    """Mergeable state of the waits: parties seated per section, day and whole minutes waited. A day's rows never change
+    once it is over, and days merge by adding; a section has at most as many rows a day as there are different waits."""
+    wait = F.timestamp_diff("MINUTE", F.col("booking_time"), F.col("seated_time"))
+    return (f.filter(F.col("seated_time").isNotNull()).groupBy("sections", F.to_date("booking_time").alias("day"), wait.alias("wait"))
+            .agg(F.count(F.lit(1)).alias("seated")))
+
+
+def seating_delay_percentiles(days: DataFrame, p0: date, p1: date, points: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """Exact percentiles of the wait per section over a period, from the daily states: the shortest wait that at least so
+    many percent of the parties did not exceed. Null sections are a section."""
+    merged = (days.filter(_in_period(F.col("day"), p0, p1)).groupBy("sections", "wait").agg(F.sum("seated").alias("n")))
+    section = Window.partitionBy("sections")
+    ranked = (merged.withColumn("so_far", F.sum("n").over(section.orderBy("wait").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .withColumn("all", F.sum("n").over(section)))
+    return ranked.groupBy("sections").agg(F.sum("n").alias("seated"), *[
+        F.min(F.when(F.col("so_far") * 100 >= F.col("all") * p, F.col("wait"))).alias(f"p{p}") for p in points])
+
+
 def issue_by_department(issue: DataFrame, p0: date, p1: date) -> DataFrame:
     """Quantity, cost and mean rate per department and item; a null item is the department's total."""
     base = issue.filter(_in_period(F.col("date"), p0, p1)).groupBy("issue_name", "item_name").agg(

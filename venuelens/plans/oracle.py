@@ -465,6 +465,9 @@ def oracle_sql() -> dict[str, str]:
         for c in ("source_of_booking", "booking_status", "booking_type", "sections"))
     out["seating_delay"] = w + FOOT + """ SELECT sections, count(*) AS seated, round(avg(date_sub('minute', booking_time, seated_time)), 4) AS average_wait,
       max(date_sub('minute', booking_time, seated_time)) AS longest_wait FROM footfall WHERE seated_time IS NOT NULL GROUP BY 1"""
+    out["seating_delay_percentiles"] = w + FOOT + """, waits AS (SELECT sections, date_sub('minute', booking_time, seated_time) AS wait FROM footfall
+       WHERE seated_time IS NOT NULL AND booking_time >= DATE '2024-01-05' AND booking_time < DATE '2024-01-25')
+      SELECT sections, count(*) AS seated, quantile_disc(wait, 0.5) AS p50, quantile_disc(wait, 0.9) AS p90, quantile_disc(wait, 0.99) AS p99 FROM waits GROUP BY 1"""
     out["issue_by_department"] = f"""SELECT s_name AS issue_name, p_name AS item_name, sum(l_quantity::DECIMAL(18,3))::DECIMAL(18,3) AS quantity,
       sum(l_extendedprice::{MON})::{MON} AS cost, {_mean(f'100 * sum(p_retailprice::{MON})', 'count(*)')} AS average_rate
       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey

@@ -315,6 +315,11 @@ def seating_delay(s, d):
     return sales.seating_delay(v.footfall(s, d))
 
 
+@query
+def seating_delay_percentiles(s, d):
+    return sales.seating_delay_percentiles(sales.seating_delay_days(v.footfall(s, d)), F0, F1)
+
+
 @query
 def issue_by_department(s, d):
     return sales.issue_by_department(v.issue(s, d), P0, P1)

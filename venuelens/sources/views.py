@@ -97,12 +97,13 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def itemwise(spark: SparkSession, sf_dir: str, restaurant: bool = True) -> DataFrame:
+    """Sold lines; one without a supplier has a null restaurant, and counts with and without that column."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     df = li.join(part, "l_partkey")
     name = F.lit(None).cast("string")
     if restaurant:
-        df = df.join(table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
+        df = df.join(table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", "left")
         name = F.col("s_name")
     return df.select(
         F.col("p_name").alias("item_name"), F.col("p_retailprice").cast(MONEY).alias("rate"),
