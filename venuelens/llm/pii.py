@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuelens.llm.common import row_key, stored
@@ -19,11 +19,11 @@ from venuelens.llm.secret_scan import span_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8         # words on either side of an entity that count as seen with it
-REACH = 400         # characters on either side in which they are sought
-SUPPORT = 3         # different contexts that a term and an entity must share
+SUPPORT = 3         # different contexts in which a term and an entity must meet
 DISCLOSURE = 0.5    # share of a term's documents that point to one entity
 BITS = 8.0          # pointwise mutual information, in bits
-TERMS_AT_ONCE = 200_000  # terms held by a task; more are handled in further passes
+FILTER_BITS = 26    # size of the bitmap that words are held against
+WORDS_HELD = 200_000  # words that a task counts before it hands them on
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -83,17 +83,20 @@ def _hash(*parts: str) -> int:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each entity: a hash of its value, a hash of the words about it, those words (other entities blanked)."""
+    """For each entity: a hash of its value, a hash of the words about it, those words. Entities are blanked first;
+    the words are whole, ``CONTEXT`` on either side, however far off they stand."""
     if not spans:
         return []
-    blank = list(text)
+    pieces, at = [], 0
     for s, _, e in spans:
-        blank[s:e] = " " * (e - s)
-    blank, out = "".join(blank), []
+        pieces += [text[at:s], " " * (e - max(s, at))] if e > at else []
+        at = max(at, e)
+    words = [(m.start(), m[0].lower()) for m in WORD.finditer("".join(pieces) + text[at:])]
+    starts, out = [w[0] for w in words], []
     for s, kind, e in spans:
         value = text[s:e].lower() if kind == 0 else _DIGITS.sub("", text[s:e])
-        before = WORD.findall(blank[max(0, s - REACH):s].lower())[-CONTEXT:]
-        after = WORD.findall(blank[e:e + REACH].lower())[:CONTEXT]
+        left, right = bisect_left(starts, s), bisect_left(starts, e)
+        before, after = ([w for _, w in words[i:j]] for i, j in ((max(0, left - CONTEXT), left), (right, right + CONTEXT)))
         out.append({"entity": _hash(KINDS[kind], value), "context": _hash(*before, "", *after), "terms": sorted({*before, *after})})
     return out
 
@@ -125,78 +128,120 @@ def entity_spans(docs: DataFrame) -> DataFrame:
 
 
 def suspects(found: DataFrame) -> DataFrame:
-    """term, both, entity_contexts: the entity that a term shares most different contexts with, where at least
-    SUPPORT. Copied passages give one context. A row per word about an entity, never per pair of words."""
-    seen = found.select(F.explode_outer("contexts").alias("c")).filter("c is not null").select(
-        "c.entity", "c.context", "c.terms").dropDuplicates(["entity", "context"])
-    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_contexts"))
-    pairs = (seen.select("entity", F.explode_outer("terms").alias("term")).filter("term is not null")
-             .groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT))
-    return (pairs.join(entities, "entity").groupBy("term").agg(F.max(F.struct("both", "entity_contexts")).alias("m"))
-            .select("term", "m.both", "m.entity_contexts"))
-
-
-def _batches_of(terms: DataFrame) -> Iterator[frozenset]:
-    """The terms in sets of bounded size; each is read by itself."""
-    n = math.ceil(terms.count() / (TERMS_AT_ONCE // 2))
-    for i in range(n):
-        part = terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == i)
-        yield frozenset(r["term"] for r in part.select("term").collect())
-
-
-def _occurrences(docs: DataFrame, terms: frozenset) -> DataFrame:
+    """term, entity, both, entity_documents: every term and entity that meet in at least SUPPORT different contexts,
+    so that copies of one passage are no evidence; both counts the documents in which the term stands by the entity,
+    entity_documents those that hold the entity. A row per word about an entity, never per pair of words, aggregated
+    before each shuffle."""
+    seen = found.select(F.monotonically_increasing_id().alias("row"), F.explode_outer("contexts").alias("c")).filter(
+        "c is not null").select("row", "c.entity", "c.context", "c.terms")
+    term = lambda df: df.withColumn("term", F.explode_outer("terms")).drop("terms").filter("term is not null")
+    met = (term(seen.select("entity", "context", "terms").dropDuplicates(["entity", "context"]))
+           .groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT))
+    inside = found.select(F.expr("""array_distinct(flatten(transform(contexts, c -> transform(c.terms,
+        t -> named_struct('term', t, 'entity', c.entity)))))""").alias("pairs"))
+    both = (inside.select(F.explode_outer("pairs").alias("p")).filter("p is not null").select("p.term", "p.entity")
+            .groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")))
+    entities = (found.select(F.explode_outer(F.array_distinct("contexts.entity")).alias("entity")).filter("entity is not null")
+                .groupBy("entity").agg(F.count(F.lit(1)).alias("entity_documents")))
+    return met.join(both, ["term", "entity"]).join(entities, "entity").select("term", "entity", "both", "entity_documents")
+
+
+def term_filter(terms: DataFrame) -> bytes | None:
+    """A bitmap of 2 ** FILTER_BITS bits, set at the CRC-32 of each term; None without terms. Spark builds it in
+    pieces of 4 KB, so the driver gets 8 MB at most, however many terms there are. Words it lets through in vain are
+    removed by a join with the terms."""
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << FILTER_BITS)) + 1  # buckets and their bits count from 1
+    pieces = (terms.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("piece"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())
+    if not pieces:
+        return None
+    whole = bytearray(1 << FILTER_BITS - 3)
+    for r in pieces:
+        at = (r["piece"] - 1) * len(r["bits"])
+        whole[at:at + len(r["bits"])] = r["bits"]
+    return zlib.compress(bytes(whole), 1)
+
+
+def _passes(packed: bytes) -> Callable[[str], bool]:
+    bits = zlib.decompress(packed)
+
+    def test(word: str) -> bool:
+        b = zlib.crc32(word.encode()) % (1 << FILTER_BITS)
+        return bool(bits[b >> 3] >> (b & 7) & 1)
+    return test
+
+
+def _document_counts(docs: DataFrame, packed: bytes) -> DataFrame:
+    """(term, n): rows of ``docs`` that hold a word of the filter, counted inside each task; a task that meets many
+    words hands its counts on and starts anew."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = ([], [], [], [])
-            for rid, text in zip(batch.column(0), batch.column(2)):
-                text = text.as_py() or ""
-                if terms.isdisjoint(WORD.findall(text.lower())):
-                    continue
-                for m in WORD.finditer(text):
-                    if (term := m[0].lower()) in terms:
-                        for column, value in zip(out, (rid.as_py(), term, m.start(), m.end())):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32()))],
-                names=["rid", "term", "start", "end"])
+        passes, counts = _passes(packed), Counter()
+        known: dict[str, bool] = {}
 
-    return _rows(docs).mapInArrow(run, "rid string, term string, start int, end int")
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                               names=["term", "n"])
+            counts.clear()
+            return batch
 
-
-def _document_counts(docs: DataFrame, terms: frozenset) -> DataFrame:
-    """(term, documents): rows of ``docs`` that hold a term. Each task counts what it reads, so only a count per
-    term and task is shuffled, however common a term is."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(terms.intersection(WORD.findall((text.as_py() or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                         names=["term", "n"])
-
-    return (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long")
-            .groupBy("term").agg(F.sum("n").alias("documents")))
-
+                for word in set(WORD.findall((text.as_py() or "").lower())):
+                    good = known.get(word)
+                    if good is None:
+                        if len(known) >= WORDS_HELD:
+                            known.clear()
+                        good = known[word] = passes(word)
+                    if good:
+                        counts[word] += 1
+                if len(counts) >= WORDS_HELD:
+                    yield flush()
+        yield flush()
 
-def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The terms that disclose an entity: over the whole corpus, contexts of that entity are at least DISCLOSURE of
-    the documents with the term, and their pointwise mutual information reaches BITS."""
+    """The terms that disclose an entity: over the whole corpus the documents in which the term stands by that entity
+    are at least DISCLOSURE of those with the term, and their pointwise mutual information reaches BITS, all four
+    counts in documents. Every pair of a term and an entity is tested; one is enough. Such a term is in at most
+    a 2 ** (BITS - 1)-th of all documents, so no disclosing term is a heavy key."""
     suspected = stored(suspects(found), "suspect-terms")
-    spread = _union([_document_counts(docs, part) for part in _batches_of(suspected)], docs.sparkSession, "term string, documents long")
+    packed = term_filter(suspected)
+    if packed is None:
+        return suspected.select("term")
+    spread = (_document_counts(docs, packed).join(suspected.select("term").distinct(), "term")
+              .groupBy("term").agg(F.sum("n").alias("documents")))
     n = F.greatest("documents", "both")
-    bits = F.log2(F.col("both") * F.lit(float(max(1, found.count()))) / (n * F.col("entity_contexts")))
-    return stored(suspected.join(spread, "term").filter((F.col("both") / n >= DISCLOSURE) & (bits >= BITS)).select("term"),
+    bits = F.log2(F.col("both") * F.lit(float(max(1, found.count()))) / (n * F.col("entity_documents")))
+    return stored(suspected.join(spread, "term").filter((F.col("both") / n >= DISCLOSURE) & (bits >= BITS)).select("term").distinct(),
                   "disclosing-terms")
 
 
-def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """rid, term, start, end: every occurrence of the terms in any document."""
-    return _union([_occurrences(docs, part) for part in _batches_of(terms)], docs.sparkSession,
-                  "rid string, term string, start int, end int")
+def term_places(docs: DataFrame, terms: DataFrame, masked: bool = False) -> DataFrame:
+    """rid, term, start, end: every occurrence of the terms in any document; ``masked`` also gives the words that
+    stand apart only once entities are masked, with offsets of the masked text."""
+    packed = term_filter(terms)
+    if packed is None:
+        return docs.sparkSession.createDataFrame([], "rid string, term string, start int, end int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passes(packed)
+        for batch in batches:
+            out = ([], [], [], [])
+            for rid, text in zip(batch.column(0), batch.column(2)):
+                text = text.as_py() or ""
+                for part in {text, mask(text)} if masked else (text,):
+                    good = {w for w in set(WORD.findall(part.lower())) if passes(w)}
+                    for m in WORD.finditer(part) if good else ():
+                        if (term := m[0].lower()) in good:
+                            for column, value in zip(out, (rid.as_py(), term, m.start(), m.end())):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32()))],
+                names=["rid", "term", "start", "end"])
+
+    return _rows(docs).mapInArrow(run, "rid string, term string, start int, end int").join(terms, "term", "left_semi")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -219,11 +264,11 @@ def _placed(text: str, m: re.Match) -> bool:
     return m[0] in KINDS and text[max(0, m.start() - 1):m.end() + 1] == f"<{m[0]}>"
 
 
-def mask(text: str, terms: frozenset = frozenset(), patterns: bool = True) -> str:
+def mask(text: str, terms: frozenset = frozenset()) -> str:
     """Entities become ``<kind>``, disclosing terms ``<term>``; overlapping spans become one. Repeated until no
     pattern matches, as cutting a match out can leave another one behind."""
     while True:
-        spans = base_spans(text) if patterns else []
+        spans = base_spans(text)
         if terms and not terms.isdisjoint(WORD.findall(text.lower())):
             spans = sorted(spans + [(m.start(), 4, m.end()) for m in WORD.finditer(text)
                                     if m[0].lower() in terms and not _placed(text, m)])
@@ -237,18 +282,16 @@ def mask(text: str, terms: frozenset = frozenset(), patterns: bool = True) -> st
         text = "".join(out) + text[at:]
 
 
-def _masker(terms: frozenset, patterns: bool):
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: mask(t, terms, patterns) if isinstance(t, str) else None)
-
-    return F.pandas_udf(run, "string", functionType=F.PandasUDFType.SCALAR)
-
-
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with ``text`` masked; a text without personal data is left as it is, a
-    null text stays null."""
+    null text stays null. Rows that share doc_id and text are masked alike. An empty table gives no rows."""
     terms = disclosing_terms(docs, entity_spans(docs))
-    out, first = docs, True
-    for part in [*_batches_of(terms)] or [frozenset()]:
-        out, first = out.withColumn("text", _masker(part, first)("text")), False
-    return out
+    held = term_places(docs, terms, masked=True).groupBy("rid").agg(F.collect_set("term").alias("__terms"))
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([mask(t, frozenset(own if own is not None else ())) if isinstance(t, str) else None
+                          for t, own in zip(texts, terms)], dtype=object)
+
+    rows = docs.join(held, row_key(docs["doc_id"], docs["text"]) == held["rid"], "left")
+    return rows.select(*[masked(docs["text"], F.col("__terms")).alias("text") if c == "text" else docs[c] for c in docs.columns])
