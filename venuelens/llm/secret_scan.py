@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from venuelens.llm.common import row_key, stored
 
 KINDS = ("assign", "access", "hex", "example", "live")
-EXAMPLE_OWNERS = 4  # a value that so many owners hold is a copied example
+EXAMPLE_OWNERS = 4         # a value that so many owners, or half of them all, hold is a copied example
+EXAMPLE_REPOSITORIES = 20  # so is one in so many repositories of more than one owner
+SALTS = 32                 # parts into which the holders of one value are dealt
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,20 +65,34 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("source").alias("owners"))
 
 
-def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def examples_of(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """hash: the values that are copied examples. With N owners in the corpus that is a value of at least
+    min(example_owners, half of N, rounded up) owners, but never of less than two; or one in at least
+    ``example_repositories`` repositories of two owners or more. Where N is below two, owners tell nothing, and the
+    repositories alone decide."""
+    all_owners = found.filter("source is not null").select("source").distinct().count()
+    needed = max(2, min(example_owners, (all_owners + 1) // 2))
+    spread = F.col("owners") >= (2 if all_owners > 1 else 0)
+    copied = (F.col("owners") >= needed) | (spread & (F.col("repositories") >= example_repositories))
+    return ownership(found).filter(copied).select("hash")
+
+
+def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_live, n_example.
 
-    Besides the pattern spans, each secret value gets a span ``example`` when documents of at least ``example_owners``
-    sources hold the same value, and ``live`` otherwise. A document is a repository, its source the owner. Null text is
+    Besides the pattern spans, each secret value gets a span ``example`` when the corpus shows it to be copied widely
+    (``examples_of``), and ``live`` otherwise. A document is a repository, its source the owner. Null text is
     empty; a null source counts as no owner; rows with one doc_id and text are one repository. Whole texts are
     scanned. Other columns are not read. An empty table gives no rows."""
     found = stored(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                                F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
                    .mapInArrow(_scan, f"rid string, doc_id long, source string, spans {FOUND}"), "secret-spans")
-    owned = ownership(found).select("hash", (F.col("owners") >= example_owners).alias("example"))
-    held = found.select("rid", F.explode_outer("spans.hash").alias("hash")).filter("hash is not null").distinct()
-    examples = (held.join(owned.filter("example"), "hash").groupBy("rid").agg(F.collect_set("hash").alias("examples")))
+    copied = examples_of(found, example_owners, example_repositories).withColumn(
+        "salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    held = (found.select("rid", F.explode_outer("spans.hash").alias("hash")).filter("hash is not null").distinct()
+            .withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")))
+    examples = held.join(copied, ["hash", "salt"]).groupBy("rid").agg(F.collect_set("hash").alias("examples"))
     rows = found.join(examples, "rid", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     base = _parts(F.col("spans"))
     judged = _parts(F.col("spans"), "value_start", "value_end",
