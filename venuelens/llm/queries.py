@@ -26,7 +26,7 @@ def op1_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("positions", "text_hash")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
