@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venuelens.llm.common import stored
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"  # a fixed date, so that reruns write the same bytes
 CRLF = "\r\n"
@@ -25,14 +27,18 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     Of records with equal payloads of at least ``min_bytes`` that with the smallest page_id is a response, the others
     are revisits of it; smaller ones are all responses. Null html is an empty payload, a null url is left out of the
     header. A null page_id is never the one referred to while another has the payload; a group of null ids only is all
-    responses; a repeated row of the response's id is a response again. Other columns are not read. Only digests are
-    shuffled to find equal payloads; the bytes move once, those of responses, to their store."""
+    responses; of repeated rows of the response's id one is the response, the others revisit it. Other columns are not
+    read; an empty table gives an archive without records. Only digests are shuffled to find equal payloads (written
+    first, so that a row keeps its number); the bytes move once, those of responses, to their store."""
     raw = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    marked = raw.select("page_id", "url", F.length("payload").cast("long").alias("bytes"),
-                        F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"))
-    first = marked.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
+    marked = stored(raw.select(F.monotonically_increasing_id().alias("row"), "page_id", "url",
+                               F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha256"),
+                               F.sha1("payload").alias("sha1")), "page-digests")
+    smallest = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row"))
+    first = marked.groupBy("sha256").agg(smallest.alias("m")).select(
+        "sha256", F.col("m.page_id").alias("first_id"), F.col("m.row").alias("first_row"))
     known = marked.join(first, "sha256")
-    revisit = (F.col("bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisit = (F.col("bytes") >= min_bytes) & F.col("first_id").isNotNull() & (F.col("row") != F.col("first_row"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     name = lambda i, s: F.concat(F.lit("<urn:venuelens:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(":"), s, F.lit(">"))
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
@@ -57,7 +63,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, header, payload (of the record's content; a revisit's is joined from the
     response), payload_bytes, payload_digest, record_type, refers_to, verified. Length and digests are made anew
-    from the stored bytes, once per payload; verified holds them against the store's key and the header."""
+    from the stored bytes, once per payload; verified holds them against the store's key and the header. A null
+    page_id stays null, repeated records give repeated rows, an empty archive gives none."""
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads").select(
         "sha256", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"),
         (F.sha2("payload", 256) == F.col("sha256")).alias("intact"))
@@ -72,6 +79,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_bytes(rows: DataFrame) -> DataFrame:
-    """The original records: header block, content (none in a revisit) and the two closing line ends."""
+    """The original records of ``read_archive``'s rows, one each: header block, content (none in a revisit) and the two
+    closing line ends."""
     content = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return rows.select("page_id", F.concat(F.encode("header", "UTF-8"), content, F.lit(b"\r\n\r\n")).alias("record"))
