@@ -95,12 +95,15 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: in
     inner product for each query (vec_id, vec); ties go to the smaller vec_id. A query is no candidate of its own id.
 
     Candidates lie in shards of about ``shard_rows`` by hash; blocks of queries go to every shard and each sends back
-    at most ``k`` rows per query, which are merged. A null id or vector takes no part. Equal rows count once; of several
-    vectors under one query id the smallest is asked. Vectors must have one length: those of another length than a
+    at most ``k`` rows per query, which are merged. A null id or vector takes no part. Each of several equal rows is a
+    candidate (they are counted, and the ``k`` of them that can be among the best are held); of several vectors under
+    one query id the smallest is asked. Vectors must have one length: those of another length than a
     query's are no candidates for it. A query without candidates has no rows; empty tables give none.
     """
     index = candidates.filter("vec_id is not null and vec is not null").select(
-        F.col("vec_id").cast("long").alias("vec_id"), "vec", F.size("vec").alias("dim")).distinct()
+        F.col("vec_id").cast("long").alias("vec_id"), "vec", F.size("vec").alias("dim"))
+    index = (index.groupBy("vec_id", "vec", "dim").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+             .withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy"))
     sizes = index.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     shards = index.join(sizes.withColumn("shards", F.ceil(F.col("n") / shard_rows)), "dim").withColumn(
         "shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards")))
