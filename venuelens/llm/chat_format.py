@@ -24,6 +24,7 @@ class Template:
 
 
 TEMPLATE = Template()
+END_IN_ROLE = "<|end of role|>"  # no escaped text holds it
 SEGMENTS = ("conv_id long, turn_no long, segment int, text string, loss boolean, valid boolean")
 
 
@@ -36,6 +37,11 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "|" in text else text
 
 
+def role_text(role: str, template: Template) -> str:
+    """A role as it stands in its mark: escaped, and with the string that ends a mark written as a control string."""
+    return escape(role).replace(template.head, END_IN_ROLE)
+
+
 def _format(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, number, valid, begun = None, None, 0, True, False
@@ -47,7 +53,7 @@ def _format(template: Template):
                 role, text = role or "", text or ""
                 valid = valid and role in template.follows.get(state, ())
                 state = role
-                parts = ((template.open + escape(role) + template.head, False),
+                parts = ((template.open + role_text(role, template) + template.head, False),
                          (escape(text), role in template.loss_roles), (template.close, False))
                 for i, (part, loss) in enumerate(parts):
                     for column, value in zip(out, (conv, number, i, part, loss, valid)):
@@ -71,12 +77,11 @@ def segments(conversations: DataFrame, template: Template = TEMPLATE) -> DataFra
 
 
 def _read(template: Template):
-    head = re.compile(re.escape(template.open) + r"(.*)" + re.escape(template.head) + r"\Z", re.S)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
         now, begun, turns, masked, counts, good = None, False, None, None, None, True
+        pending, learnt = "", []  # text after the last whole turn, and what of it is under the loss mask
         done: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -85,24 +90,32 @@ def _read(template: Template):
             return batch
 
         def finish() -> None:
+            if pending:
+                raise ValueError(f"conversation {now} ends inside a turn")
             done.append((now, counts[0], turns.hexdigest(), counts[1], masked.hexdigest(), counts[2], good))
 
         for batch in batches:
-            for conv, part, text, loss, valid in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for conv, text, loss, valid in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
                 if not begun or conv != now:
                     if begun:
                         finish()
                     now, begun, turns, masked, counts, good = conv, True, hashlib.sha256(), hashlib.sha256(), [0, 0, 0], True
                 counts[2] += len(text)
-                if part == 0:
+                if loss:
+                    learnt.append(text)
+                look = max(0, len(pending) - len(template.close))
+                pending += text
+                while (end := pending.find(template.close, look)) >= 0:
+                    if not pending.startswith(template.open):
+                        raise ValueError(f"conversation {conv} has text outside its turns")
+                    mark = pending.index(template.head, len(template.open), end)
+                    role, plain = pending[len(template.open):mark], pending[mark + len(template.head):end]
                     counts[0] += 1
-                    turns.update(unescape(head.match(text)[1]).encode() + b"\n")
-                elif part == 1:
-                    plain = unescape(text)
-                    turns.update(plain.encode() + b"\n")
-                    if loss:
-                        counts[1] += len(plain)
-                        masked.update(plain.encode())
+                    turns.update(f"{unescape(role.replace(END_IN_ROLE, template.head))}\n{unescape(plain)}\n".encode())
+                    plain = unescape("".join(learnt))
+                    counts[1] += len(plain)
+                    masked.update(plain.encode())
+                    pending, learnt, look = pending[end + len(template.close):], [], 0
                 good = good and valid
             yield flush()
         if begun:
@@ -112,9 +125,12 @@ def _read(template: Template):
 
 
 def read_back(parts: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Per conversation, from the segments alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, valid. Takes segments as ``segments`` leaves them; ``sorted_segments`` brings stored ones back
-    into that order."""
+    """Per conversation, from the formatted text alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, valid. Turns are found by the template's marks in the text that the segments make one after
+    another, so a text that could pass for a mark would be seen here; a turn may be cut into segments anywhere. Loss
+    flags give the learnt text. Text outside turns or an unfinished turn is an error. Takes segments as ``segments``
+    leaves them; ``sorted_segments`` brings stored ones back into that order. A null conv_id is one conversation; a
+    conversation is read by one task (its digest is a chain), a turn at a time; an empty table gives no rows."""
     return parts.select("conv_id", "turn_no", "segment", "text", "loss", "valid").mapInArrow(
         _read(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                          "formatted_chars long, valid boolean")
