@@ -263,11 +263,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, less near copies: each group keeps the row of its smallest doc_id (one
-    row, where that doc_id has several). Rows with a null doc_id stay."""
-    gone = (near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct()
-            .withColumnRenamed("doc_id", "__gone"))
-    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = named.withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs``, all columns, less near copies: each group keeps the row of its smallest doc_id. Rows of
+    one doc_id with different texts are documents of their own: the text of the smallest hash stands for the id, the
+    others rank behind all ids. Of rows equal in doc_id and text one stays. Rows with a null doc_id stay."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    text_hash = F.xxhash64("text")
+    several = stored(named.groupBy(F.col("doc_id").alias("__id")).agg(F.min(text_hash).alias("__first"), F.max(text_hash).alias("__last"))
+                     .filter("__first <> __last").select("__id", "__first"), "ids-with-several-texts")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", text_hash, F.lit(1)), 2).bitwiseOR(F.lit(1 << 62))
+    node = F.when(F.col("__first").isNull() | (F.col("__first") == text_hash), F.col("doc_id").cast("long")).otherwise(other)
+    nodes = named.join(several, F.col("doc_id") == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__first")
+    gone = (near_duplicates(nodes.select(F.col("__node").alias("doc_id"), "text"), size, percent)
+            .filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    left = nodes.join(gone, F.col("__node") == F.col("__gone"), "left_anti")
+    one = left.withColumn("__rank", F.row_number().over(Window.partitionBy("__node").orderBy(text_hash)))
+    return one.filter("__rank = 1").drop("__rank", "__node").unionByName(docs.filter(F.col("doc_id").isNull()))
