@@ -43,6 +43,41 @@ def test_ingest_repeats_late_and_restart(spark, tmp_path):
     assert sent == [("a", "p1"), ("a", "p2")]
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    src, sink, mark = (str(tmp_path / n) for n in ("src", "sink", "mark"))
+    # rows are late by the watermark with which the batch before ended
+    for arrivals in ([row("a", 0, 1)], [row("b", 30, 2)], [row("d", 30, 6)],
+                     [row("late", 1, 3), row("later", 2, 4), row("c", 29, 5)]):
+        feed(spark, src, arrivals)
+    query = jobs.stream_ingest(source(spark, src), sink, mark)
+    query.awaitTermination()
+    assert jobs.late_counts(query) == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 3, 2)]
+    assert {r.review_id for r in spark.read.parquet(sink).collect()} == {"a", "b", "c", "d"}
+
+
+def test_ids_are_read_by_bucket_and_compacted(spark, tmp_path, monkeypatch):
+    index = jobs.IdIndex(str(tmp_path / "ids"), buckets=4, limit=2)
+    listed = []
+    real = jobs._children
+    monkeypatch.setattr(jobs, "_children", lambda s, path: listed.append(path) or real(s, path))
+    known = set()
+    for batch_id in range(9):
+        batch = spark.createDataFrame([(f"id{batch_id}",), (f"id{batch_id - 4}",), (None,)], "review_id string")
+        for attempt in range(2):  # each batch is run again, as after a failure
+            listed.clear()
+            buckets = index.touched(batch)
+            held = {b: index.folders(spark, b, batch_id) for b in buckets}
+            seen = {r[0] for r in index.read(spark, [n for names in held.values() for n in names]).collect()}
+            assert {i for i in known if i in (f"id{batch_id}", f"id{batch_id - 4}")} <= seen <= known
+            fresh = batch.filter(~F.coalesce(F.col("review_id").isin(list(seen)), F.lit(False)))
+            index.add(fresh, batch_id, held)
+            assert {int(path.rsplit("=", 1)[1]) for path in listed} <= set(buckets)
+        known |= {r[0] for r in batch.collect() if r[0]}
+    whole = index.read(spark, [n for b in range(4) for n in index.folders(spark, b, 99)])
+    assert sorted(r[0] for r in whole.collect()) == sorted(known)
+    assert all(len(index.folders(spark, b, 99)) <= 4 for b in range(4))
+
+
 def test_windows_match_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     for step in range(4):

@@ -7,7 +7,7 @@ overwrite it on a retry, so a repeated batch leaves no second copy. Watermarks n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -18,6 +18,7 @@ from venuelens.operators.skew import top_k
 from venuelens.operators.summary import star_counts
 
 LOCAL_MIDNIGHT = "18 hours 30 minutes"  # 00:00 at +05:30, in UTC
+ARRIVED = "arrived"  # observed: rows of a micro-batch before any is dropped
 
 
 def _event_time(src: DataFrame, hours: int) -> DataFrame:
@@ -43,35 +44,111 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _earlier(spark: SparkSession, schema: StructType, path: str, batch_id: int) -> DataFrame:
-    typed = StructType(list(schema.fields)).add("batch_id", "long")
-    return spark.read.schema(typed).parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _drop_path(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+class IdIndex:
+    """Ids of stored reviews, in folders by hash bucket: a micro-batch lists and reads the buckets of its own ids only.
+
+    A bucket holds a folder per batch that added to it (``piece=<batch>-new``). Once more than ``limit`` have gathered, the next
+    batch writes all of the bucket's ids again as one folder (``-all``), with which reading starts from then on; folders
+    before the one it started from itself are removed, as no retry reads them. What a batch reads depends on earlier
+    batches alone, so a retry finds the same. Rows without an id are not kept. ``buckets`` and ``splits`` are to be chosen
+    so that a bucket's ids, a ``splits``-th of them, suit a task; ``buckets`` must not change while a table is in use.
+    """
+
+    def __init__(self, path: str, buckets: int = 256, splits: int = 1, limit: int = 16) -> None:
+        self.path, self.buckets, self.splits, self.limit = path, buckets, splits, limit
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("review_id"), F.lit(self.buckets)).cast("int")
+
+    def folders(self, spark: SparkSession, bucket: int, batch_id: int) -> list[str]:
+        """Folders of one bucket that hold what batches before ``batch_id`` stored, the whole one first."""
+        names = sorted(n for n in _children(spark, f"{self.path}/bucket={bucket}") if n.startswith("piece="))
+        names = [n for n in names if int(n[6:16]) < batch_id]
+        whole = [i for i, n in enumerate(names) if n.endswith("-all")]
+        return [f"{self.path}/bucket={bucket}/{n}" for n in names[whole[-1] if whole else 0:]]
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        rows = batch.filter(F.col("review_id").isNotNull()).select(self.bucket().alias("bucket")).distinct().collect()
+        return sorted(r["bucket"] for r in rows)  # at most ``buckets`` numbers
+
+    def read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        if not folders:
+            return spark.createDataFrame([], "review_id string")
+        return spark.read.schema("review_id string").parquet(*folders)
+
+    def add(self, fresh: DataFrame, batch_id: int, held: dict[int, list[str]]) -> None:
+        """Stores the ids of ``fresh``; ``held`` has the folders by bucket that the batch started from."""
+        spark = fresh.sparkSession
+        full = [b for b, names in held.items() if len(names) > self.limit]
+        ids = fresh.filter(F.col("review_id").isNotNull()).select("review_id", self.bucket().alias("bucket"))
+        if full:
+            ids = ids.unionByName(self.read(spark, [n for b in full for n in held[b]]).select("review_id", self.bucket().alias("bucket")))
+        kind = F.when(F.col("bucket").isin(full), "-all").otherwise("-new")
+        (ids.withColumn("piece", F.concat(F.lit(f"{batch_id:010d}"), kind))
+         .repartition("bucket", F.pmod(F.hash("review_id"), F.lit(self.splits)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "piece").parquet(self.path))
+        for b, names in held.items():
+            for name in _children(spark, f"{self.path}/bucket={b}") if names and names[0].endswith("-all") else ():
+                if name.startswith("piece=") and name < names[0].rsplit("/", 1)[1]:
+                    _drop_path(spark, f"{self.path}/bucket={b}/{name}")
 
 
 def stream_ingest(src: DataFrame, sink: str, checkpoint: str, hours: int = 8,
-                  alerts_sink: str | None = None, recipients: DataFrame | None = None) -> StreamingQuery:
-    """New reviews into ``sink``: the watermark drops late rows, the state forgets old ids, so the
-    batch is also held against the table. With ``alerts_sink`` the new rows' alert messages are
-    written from the same batch; their key is (review_id, phone)."""
+                  alerts_sink: str | None = None, recipients: DataFrame | None = None, buckets: int = 256) -> StreamingQuery:
+    """New reviews into ``sink``: the watermark drops late rows, the state forgets old ids, so the batch is also held
+    against the ids stored before, in the buckets that it touches (``IdIndex`` in ``sink``/_ids, which readers of ``sink``
+    pass over). With ``alerts_sink`` the new rows' alert messages are written from the same batch; their key is
+    (review_id, phone). ``late_counts`` tells how many rows came too late."""
     spark = src.sparkSession
-    accepted = accept(src, hours)
+    arrived = src.observe(ARRIVED, F.count(F.lit(1)).alias("rows"))
+    accepted = accept(arrived, hours)
     schema = accepted.schema
     _seed(spark, schema, sink)
+    index = IdIndex(f"{sink}/_ids", buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         batch = batch.persist()  # read by both sides of the insert: the state runs once
-        fresh = insert_new(batch, _earlier(session, schema, sink, batch_id))
-        _write_batch(fresh, sink, batch_id)
+        held = {b: index.folders(session, b, batch_id) for b in index.touched(batch)}
+        known = index.read(session, [n for names in held.values() for n in names])
+        _write_batch(insert_new(batch, known), sink, batch_id)
         batch.unpersist()
+        stored = session.read.schema(schema).parquet(f"{sink}/batch_id={batch_id}")
+        index.add(stored, batch_id, held)
         if alerts_sink is not None:
-            stored = session.read.schema(schema).parquet(f"{sink}/batch_id={batch_id}")
             _write_batch(alert_messages(alerts_select(stored), recipients), alerts_sink, batch_id)
 
     return (accepted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def late_counts(query: StreamingQuery) -> list[tuple[int, int, int]]:
+    """(batch, rows that arrived, rows dropped as later than the watermark) of the micro-batches whose progress the
+    query still holds (``spark.sql.streaming.numRecentProgressUpdates`` of them, those without data left out)."""
+    out = []
+    for p in query.recentProgress:
+        arrived = p.observedMetrics.get(ARRIVED)
+        dropped = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        if arrived is not None and (arrived["rows"] or dropped):
+            out.append((p.batchId, arrived["rows"], dropped))
+    return out
+
+
 def stream_alerts(src: DataFrame, sink: str, alerts_sink: str, recipients: DataFrame, checkpoint: str,
                   hours: int = 8) -> StreamingQuery:
     return stream_ingest(src, sink, checkpoint, hours, alerts_sink, recipients)
@@ -99,12 +176,6 @@ def stream_weekly(src: DataFrame, sink: str, checkpoint: str, hours: int = 8) ->
     return _windowed(src, sink, checkpoint, "7 days", hours, stars=False)
 
 
-def _drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def stream_chat(src: DataFrame, sink: str, checkpoint: str, n: int = 7, parts: int = 64,
                 trigger: dict | None = None) -> StreamingQuery:
     """History and routing of a message stream (below ``sink``/out): a row per user message with its intent, and
