@@ -292,3 +292,57 @@ def test_wait_percentiles_come_from_merged_days(spark):
     days = sales.seating_delay_days(spark.createDataFrame(rows, "booking_time timestamp_ntz, seated_time timestamp_ntz, sections string"))
     got = {r.sections: (r.seated, r.p50, r.p90, r.p99) for r in sales.seating_delay_percentiles(days, date(2024, 1, 5), date(2024, 1, 9)).collect()}
     assert got == {"A": (10, 3, 90, 90), "B": (1, 0, 0, 0), None: (1, 4, 4, 4)}
+
+
+def test_required_literals():
+    known = {"abc": "abc", "^ab.*cde$": "cde", "ab?cd": "cd", "abc*": "ab", "ab+c": "ab", "a{0,2}bc": "bc", "(ab)?cd": "cd",
+             "x[a-c]yz": "yz", r"a\.b": "a.b", r"\d\dkm": "km", "ab|cd": "", "(?i)abc": "", r"\x41bc": "", "(a|b)(c)": "", "": "",
+             r"(a\)b[)])cde": "cde", ".*": "", "ab{2}cd": "cd", "a*?bc": "bc"}
+    assert {p: report.required_literal(p) for p in known} == known
+
+
+def test_names_meet_the_patterns_they_match(spark):
+    names = spark.createDataFrame([(n,) for n in ("Blue Fox", "blue-box", "ÉCLAIR", "éclair 2", "aab", "A.B", "xyz", "", None, "ab" * 50)],
+                                  "place_name string")
+    pats = ["blue", "BLUE.*X", "^blu[ek].f", "éclair$", "É.LAIR", "a+b", "a{2}b", "x|z", "(b|c)o[xy]", r"a\.b", "", ".", "q?yz", "[ab]{3}", None]
+    patterns = spark.createDataFrame([(p,) for p in pats], "place_name string")
+    got = {(r.pattern, r.place_name) for r in report.match_names(names, patterns).collect()}
+    every = names.crossJoin(patterns.withColumnRenamed("place_name", "pattern"))
+    want = every.filter(F.expr("place_name rlike concat('(?iu)', pattern)")).collect()
+    assert got == {(r.pattern, r.place_name) for r in want} and len(got) > 20
+
+
+def test_daily_states_follow_changed_days(spark, tmp_path):
+    at = lambda d, h=10: datetime(2024, 1, d, h)
+    path = str(tmp_path / "days")
+    first = reviews(spark, *[dict(place_name=p, review_datetime_utc=at(d), review_rating=r) for p, d, r in
+                             (("A", 18, 5), ("A", 18, None), ("A", 20, 4), ("B", 1, 1), (None, 21, 2))])
+    report.save_daily_states(report.daily_states(first), path)
+    # the 18th has one review more, the 20th none any more, 20:00 UTC on the 18th is the 19th
+    now = reviews(spark, *[dict(place_name=p, review_datetime_utc=t, review_rating=r) for p, t, r in
+                           (("A", at(18), 5), ("A", at(18), None), ("A", at(18, 12), 1), ("A", at(18, 20), 3), ("B", at(1), 1), (None, at(21), 2))])
+    report.refresh_daily_states(now, [date(2024, 1, 18), date(2024, 1, 19), date(2024, 1, 20)], path)
+    states = spark.read.parquet(path)
+    for keys in (("place_name", "review_date"), ("place_name",), ()):
+        want = report.merged_states(report.daily_states(now), *keys)
+        got = report.merged_states(states, *keys).filter("total_reviews > 0")
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+    shown = report.dashboard(states, AS_OF)
+    total = shown.filter("place_name is null and review_date = date'2024-01-18'").first()
+    assert (total.total_reviews, total.day_reviews, total.day_average) == (6, 3, 3.0)
+    assert rows(shown.filter("place_name = 'B'"), "total_reviews", "review_date", "day_reviews") == [(1, None, 0)]
+    assert shown.filter("place_name = 'A' and day_reviews = 0").count() == 5
+    assert report.dashboard(report.daily_states(now.limit(0)), AS_OF).count() == 0
+
+
+def test_titles_and_alert_chain(spark):
+    titles = spark.createDataFrame([("g", "Zed"), ("g", "Ann's"), (None, "none")], "google_id string, title string")
+    df = reviews(spark, dict(review_id="1"), dict(review_id="2", google_id="other"), dict(review_id="3", google_id=None))
+    assert rows(ingest.with_place_title(df, titles), "review_id", "title") == [("1", "Ann's")]
+    assert ingest.with_place_title(df, titles.limit(0)).count() == 0
+    phones = spark.createDataFrame([("A", ["p"])], "place_name string, phones array<string>")
+    raw = reviews(spark, *[dict(review_id=i, review_rating=r) for i, r in (("old", 1), ("new", 1), ("new", 1), ("good", 5))])
+    raw = raw.withColumn("arrival", F.monotonically_increasing_id()).withColumn(
+        "review_datetime_utc", F.date_format(F.lit(AS_OF), "M/d/yyyy H:m:s"))
+    fresh, messages = ingest.alert_chain(raw, reviews(spark, dict(review_id="old")), phones, AS_OF)
+    assert rows(fresh, "review_id") == [("good",), ("new",)] and rows(messages, "review_id", "phone") == [("new", "p")]

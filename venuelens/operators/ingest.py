@@ -58,6 +58,21 @@ def alert_fanout(alerts: DataFrame, recipients: DataFrame) -> DataFrame:
     return alerts.join(phones, "place_name")
 
 
+def with_place_title(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows with the ``title`` of their place, looked up by ``google_id`` in (google_id, title). An id that is not in
+    the list, or none, gives no row; of several titles of an id the first in order counts."""
+    one = titles.filter(F.col("google_id").isNotNull()).groupBy("google_id").agg(F.min("title").alias("title"))
+    return rows.join(one, "google_id")
+
+
+def alert_chain(raw: DataFrame, stored: DataFrame, recipients: DataFrame, as_of: datetime,
+                hours: int = 8) -> tuple[DataFrame, DataFrame]:
+    """One batch run: the new reviews among those since the cut-off, and the alert messages of these alone. Write the
+    first before the second, or run again: a review that is stored alerts nobody."""
+    fresh = insert_new(fetch_since(raw, as_of, hours), stored)
+    return fresh, alert_messages(alerts_select(fresh), recipients)
+
+
 def alert_messages(alerts: DataFrame, recipients: DataFrame, text_limit: int = 200) -> DataFrame:
     """Message variables per alert and phone. The reply text (7) is left to a later model run."""
     text = preview(F.col("review_text"), text_limit, NO_TEXT)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, time, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from venuelens.functions import clock
 from venuelens.functions.ratings import question_map, sub_rating
 from venuelens.functions.text import each, pieces
 from venuelens.operators.skew import numbered, top_k
-from venuelens.operators.summary import star_counts
+from venuelens.operators.summary import STARS, star_counts
 from venuelens.sources.tables import WEEKLY_REPORT
 
 RATINGS = [1, 2, 3, 4, 5]
 PATTERN_BLOCK = 64
+NAME_SALTS = 32
 
 
 # --- rows of a place, of a week, of a polarity ---
@@ -29,29 +32,104 @@ def _fold(name: Column) -> Column:
     return F.lower(F.upper(name))
 
 
+def required_literal(pattern: str) -> str:
+    """A text that every match of the regular expression holds (in any case), the longest found; empty if none is sure.
+    Only what stands outside groups and classes counts, a character less where it may be repeated zero times. An
+    alternative at the top, an inline group option or a numeric escape gives none."""
+    best, run, i, n = "", "", 0, len(pattern)
+
+    def end_of_class(at: int) -> int:
+        depth = 0
+        while at < n:
+            if pattern[at] == "\\":
+                at += 1
+            elif pattern[at] == "[":
+                depth += 1
+            elif pattern[at] == "]":
+                depth -= 1
+                if not depth:
+                    return at
+            at += 1
+        return n
+
+    def end_of_group(at: int) -> int:
+        depth = 0
+        while at < n:
+            if pattern[at] == "\\":
+                at += 1
+            elif pattern[at] == "[":
+                at = end_of_class(at)
+            elif pattern[at] in "()":
+                depth += 1 if pattern[at] == "(" else -1
+                if not depth:
+                    return at
+            at += 1
+        return n
+
+    if any(mark in pattern for mark in ("(?", "\\Q", "[]", "[^]")):
+        return ""
+    while i < n:
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "?*{":
+            run = run[:-1]
+        if c == "\\":
+            i += 1
+            if i == n or pattern[i] in "xucpPkNXE0123456789":
+                return ""
+            if not pattern[i].isalnum():
+                run, c = run + pattern[i], ""
+        elif c == "[":
+            i = end_of_class(i)
+        elif c == "(":
+            i = end_of_group(i)
+        elif c == "{":
+            i = pattern.find("}", i)
+            if i < 0:
+                return ""
+        elif c not in ".^$?*+":
+            run, c = run + c, ""
+        if c:  # something other than a plain character: the run ends here
+            best, run = max(best, run, key=len), ""
+        elif len(run) > len(best) and (i + 1 == n or pattern[i + 1] not in "?*{"):
+            best = run
+        i += 1
+    return best
+
+
+@F.pandas_udf(StringType())
+def _literals(patterns: pd.Series) -> pd.Series:
+    return patterns.map(required_literal)
+
+
 def match_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, place_name) for every name that contains the pattern, over distinct names only.
-    A plain pattern is looked up by its first piece; a real regular expression has no such
-    key, so those are packed in blocks and each name tests a block of them at a time."""
+    A pattern is looked up by the first piece of a text that its matches must hold; names that hold the piece are
+    tested. A regular expression without such a text (``required_literal``) is packed in blocks with others, and
+    each name tests a block at a time; names are dealt over ``NAME_SALTS`` copies of a block."""
     names = names.select("place_name").filter(F.col("place_name").isNotNull()).distinct()
     wanted = (patterns.select(F.col("place_name").alias("pattern"))
               .filter(F.col("pattern").isNotNull()).distinct())
     special = F.col("pattern").rlike(r"[\\^$.|?*+()\[\]{}]")
     hit = F.expr("place_name rlike concat('(?iu)', pattern)")
 
-    plain = wanted.filter(~special & (F.length("pattern") > 0))
-    keyed = plain.withColumn("piece", F.substring(_fold(F.col("pattern")), 1, 3))
+    known = wanted.filter(~special).withColumn("literal", F.col("pattern")).unionByName(
+        wanted.filter(special).withColumn("literal", _literals("pattern")))
+    keyed = known.filter("literal <> ''").withColumn("piece", F.substring(_fold(F.col("literal")), 1, 3))
     folded = _fold(F.col("place_name"))
     index = each(names, F.array_distinct(F.concat(*[pieces(folded, size) for size in (1, 2, 3)])), "piece")
     found = index.join(keyed, "piece").filter(hit).select("pattern", "place_name")
 
-    regex = wanted.filter(special | (F.length("pattern") == 0))
+    regex = known.filter("literal = ''").select("pattern")
     n_blocks = -(-regex.count() // PATTERN_BLOCK)
     if n_blocks:
         blocks = (regex.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).cast("int").alias("block"))
-                  .agg(F.collect_list("pattern").alias("pats")))
+                  .agg(F.collect_list("pattern").alias("pats"))
+                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1)))))
         tested = (names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-                  .join(blocks, "block")
+                  .withColumn("salt", F.pmod(F.xxhash64("place_name"), F.lit(NAME_SALTS)).cast("int"))
+                  .join(blocks, ["block", "salt"])
                   .select("place_name", F.explode("pats").alias("pattern")).filter(hit))
         found = found.unionByName(tested.select("pattern", "place_name"))
     return found
@@ -266,6 +344,65 @@ def dashboard_metrics(reviews: DataFrame) -> DataFrame:
         (F.col("_all") == 1) | F.col("place_name").isNotNull()).drop("_all")
 
 
+# --- daily states: counts and sums that merge by adding ---
+
+def daily_states(reviews: DataFrame) -> DataFrame:
+    """Per place and local day: reviews, ratings given and their sum, and the star counts. Everything the summaries
+    show follows by adding these. A review without a time has a null day."""
+    return reviews.groupBy("place_name", clock.ist_date(F.col("review_datetime_utc")).alias("review_date")).agg(
+        F.count(F.lit(1)).alias("total_reviews"), F.count("review_rating").alias("rated"),
+        F.sum(F.col("review_rating").cast("long")).alias("rating_sum"), *star_counts())
+
+
+def save_daily_states(states: DataFrame, path: str) -> None:
+    """A folder per day; only the days present in ``states`` are replaced."""
+    (states.repartition("review_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("review_date").parquet(path))
+
+
+def refresh_daily_states(reviews: DataFrame, days: list[date], path: str) -> None:
+    """Counts the given local days anew from the reviews of those days alone. A day that has no review any more
+    keeps an empty row of place null, which adds nothing."""
+    spark = reviews.sparkSession
+    wanted = spark.createDataFrame([(d,) for d in days], "review_date date")
+    span = clock.between(F.col("review_datetime_utc"), datetime.combine(min(days), time.min) - clock.OFFSET,
+                         datetime.combine(max(days), time.min) - clock.OFFSET + timedelta(days=1))
+    made = daily_states(reviews.filter(span)).filter(F.col("review_date").isin(days))
+    zero = [F.lit(0).cast("long").alias(c) for c in made.columns[2:]]
+    empty = wanted.select(F.lit(None).cast("string").alias("place_name"), "review_date", *zero)
+    save_daily_states(made.unionByName(empty), path)
+
+
+def merged_states(states: DataFrame, *keys: str) -> DataFrame:
+    """Count, mean and stars by ``keys`` (place_name, review_date, both or neither) out of daily states."""
+    sums = ["total_reviews", "rated", "rating_sum", *STARS.values()]
+    one = states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    return one.select(*keys, "total_reviews", F.round(F.try_divide("rating_sum", "rated"), 4).alias("average_rating"),
+                      *STARS.values())
+
+
+def dashboard(states: DataFrame, as_of: datetime) -> DataFrame:
+    """The figures of ``dashboard_metrics`` with the trend of the week before ``as_of`` beside them, out of daily states:
+    per place, and with a null place over all reviews, a row for each of seven days from the first day with a
+    review. Without one in that week there is one row, its day null. A place's days fit one array."""
+    _, cur, end = clock.week_bounds(as_of)
+    first, last = ((t + clock.OFFSET).date() for t in (cur, end))
+    in_week = (F.col("review_date") >= clock.day(first)) & (F.col("review_date") < clock.day(last)) & (F.col("total_reviews") > 0)
+    sums = ["total_reviews", "rated", "rating_sum", *STARS.values()]
+    days = states.groupingSets([["place_name", "review_date"], ["review_date"]], "place_name", "review_date").agg(
+        F.grouping("place_name").alias("_all"), *[F.sum(c).alias(c) for c in sums])
+    kept = days.filter((F.col("_all") == 1) | F.col("place_name").isNotNull())
+    packed = kept.groupBy("_all", "place_name").agg(
+        *[F.sum(c).alias(c) for c in sums], F.min(F.when(in_week, F.col("review_date"))).alias("first_day"),
+        F.map_from_entries(F.collect_list(F.when(in_week, F.struct("review_date", F.struct(*sums))))).alias("by_day"))
+    laid = packed.withColumn("day", F.explode_outer(F.sequence("first_day", F.date_add("first_day", 6))))
+    d = laid.withColumn("d", F.try_element_at("by_day", F.col("day")))
+    return d.select(
+        "place_name", "total_reviews", F.round(F.try_divide("rating_sum", "rated"), 4).alias("average_rating"), *STARS.values(),
+        F.col("day").alias("review_date"), F.coalesce("d.total_reviews", F.lit(0)).alias("day_reviews"),
+        F.round(F.try_divide(F.col("d.rating_sum"), F.col("d.rated")), 4).alias("day_average"))
+
+
 # --- wording ---
 
 # The report's paragraphs, as its readers know them.

@@ -386,6 +386,11 @@ def oracle_sql() -> dict[str, str]:
     out["alert_fanout"] = w + REVIEWS + f", {PHONES} SELECT review_id, place_name, phone FROM reviews JOIN phones USING (place_name) WHERE {ALERT}"
     out["alert_messages"] = w + REVIEWS + (f", {PHONES} SELECT review_id, place_name, phone, {_alert_variables()} AS variables "
                                            f"FROM reviews JOIN phones USING (place_name) WHERE {ALERT}")
+    out["place_title_alerts"] = w + REVIEWS + (
+        " SELECT review_id, google_id, 'The ' || upper(place_name[1]) || substr(place_name, 2) AS title FROM reviews "
+        f"WHERE {ALERT} AND place_name IN ('click', 'error', 'signup', 'view')")
+    out["alert_chain"] = w + f"""fresh AS ({_insert_new().replace('ev AS', 'WITH ev AS', 1)}), {PHONES}
+      SELECT review_id, place_name, phone, {_alert_variables()} AS variables FROM fresh JOIN phones USING (place_name) WHERE {ALERT}"""
     out["daily_summary"] = w + REVIEWS + f", {PLACES}, {DAILY} SELECT * FROM daily"
     out["summary_due"] = w + f"{PLACES}, {SENT} SELECT place_name FROM places WHERE place_name NOT IN (SELECT place_name FROM sent)"
     label = f"{AS_OF - timedelta(days=1):%d %b %Y}"
@@ -442,6 +447,17 @@ def oracle_sql() -> dict[str, str]:
     out["dashboard_metrics"] = w + REVIEWS + f""" SELECT place_name, count(*) AS total_reviews, round(avg(review_rating), 4) AS average_rating, {STAR_SUMS}
       FROM reviews GROUP BY GROUPING SETS ((place_name), ())"""
 
+    day_spine = f"""wk AS (SELECT place_name, review_date, count(*) AS n, avg(review_rating) AS a FROM week GROUP BY 1, 2
+       UNION ALL SELECT NULL, review_date, count(*), avg(review_rating) FROM week GROUP BY 2),
+      whole AS (SELECT place_name, count(*) AS total_reviews, round(avg(review_rating), 4) AS average_rating, {STAR_SUMS}
+       FROM reviews GROUP BY GROUPING SETS ((place_name), ())),
+      days AS (SELECT place_name, CAST(first_day + CAST(i AS INTEGER) AS DATE) AS review_date FROM
+       (SELECT place_name, min(review_date) AS first_day FROM wk GROUP BY 1), range(7) t(i))"""
+    out["dashboard_trend"] = w + WEEK + f""", {day_spine} SELECT w.place_name, total_reviews, average_rating, {STAR_NAMES}, d.review_date,
+      coalesce(n, 0) AS day_reviews, round(a, 4) AS day_average FROM whole w
+      LEFT JOIN days d ON d.place_name IS NOT DISTINCT FROM w.place_name
+      LEFT JOIN wk ON wk.place_name IS NOT DISTINCT FROM d.place_name AND wk.review_date = d.review_date"""
+
     # point of sale
     out["top_items"] = w + ITEMWISE + f""" SELECT item_name, sum(total_amount)::{MON} AS total_sales, sum(qty)::DECIMAL(18,3) AS total_qty
       FROM itemwise WHERE {IN_YEAR} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
@@ -510,6 +526,12 @@ def oracle_sql() -> dict[str, str]:
         " SELECT review_id, 'Reply kindly to ' || coalesce(author_title, '') || ', who gave ' || review_rating || ' stars and wrote: ' "
         f"|| CASE WHEN coalesce(review_text, '') = '' THEN 'NO REVIEW WRITTEN' ELSE translate(substr(review_text, 1, 200), chr(10) || chr(13), '  ') END "
         f"AS prompt FROM reviews WHERE {ALERT}")
+    out["summary_prompts"] = w + POLAR + """, n AS (SELECT *, row_number() OVER (PARTITION BY place_name, polarity ORDER BY review_datetime_utc, review_id) AS rn FROM split)
+      SELECT place_name, polarity, (rn - 1) // 50 AS part_no, 'Summarise these ' || polarity || ' reviews of ' || place_name
+       || ' in two hundred words at most, from the reviews alone; without any, answer: No reviews available.' || chr(10)
+       || string_agg(review_text, ' ' ORDER BY rn) AS prompt FROM n GROUP BY 1, 2, 3"""
+    out["answer_prompts"] = w + KNN + """ SELECT request_id, 'Answer from the reviews below and nothing else.' || chr(10) || 'Question: what about ' || request_id
+      || chr(10) || 'Reviews:' || chr(10) || string_agg(coalesce(page_content, ''), chr(10) ORDER BY rank) AS prompt FROM knn GROUP BY 1"""
     out["request_parse"] = w + REQUESTS + """ SELECT request_id, CASE WHEN d1 >= d0 THEN question END AS question,
       CASE WHEN d1 >= d0 THEN r1 || ',' || r2 END AS ratings, CASE WHEN d1 >= d0 THEN array_to_string(list_transform(
         generate_series(d0::TIMESTAMP, d1::TIMESTAMP, INTERVAL 1 DAY), lambda x: strftime(x, '%d-%m-%Y')), ',') END AS dates FROM req"""

@@ -24,6 +24,10 @@ F0, F1 = date(2024, 1, 5), date(2024, 1, 25)
 BASE_URL = "https://reports.example/weekly"
 REPLY_PROMPT = "Reply kindly to {author_title}, who gave {review_rating} stars and wrote: {review_text}"
 
+SUMMARY_PROMPT = ("Summarise these {polarity} reviews of {place_name} in two hundred words at most, from the reviews alone; "
+                  "without any, answer: No reviews available.\n{joined_text}")
+ANSWER_PROMPT = "Answer from the reviews below and nothing else.\nQuestion: {question}\nReviews:\n{context}"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -162,6 +166,19 @@ def alert_messages(s, d):
     return ingest.alert_messages(ingest.alerts_select(v.reviews(s, d)), v.recipients(s, d))
 
 
+@query
+def place_title_alerts(s, d):
+    return ingest.with_place_title(ingest.alerts_select(v.reviews(s, d)), v.place_titles(s, d)).select(
+        "review_id", "google_id", "title")
+
+
+@query
+def alert_chain(s, d):
+    stored = v.reviews(s, d, text=False).filter(
+        F.col("review_datetime_utc") <= clock.ntz(AS_OF_TEXT - timedelta(hours=24)))
+    return ingest.alert_chain(v.raw_reviews(s, d), stored, v.recipients(s, d), AS_OF_TEXT, hours=72)[1]
+
+
 @query
 def daily_summary(s, d):
     return summary.daily_summary(v.reviews(s, d, text=False), v.place_dim(s, d), AS_OF)
@@ -263,6 +280,11 @@ def dashboard_metrics(s, d):
     return report.dashboard_metrics(v.reviews(s, d, text=False))
 
 
+@query
+def dashboard_trend(s, d):
+    return report.dashboard(report.daily_states(v.reviews(s, d, text=False)), AS_OF)
+
+
 # --- point of sale ---
 
 @query
@@ -390,6 +412,19 @@ def prompt_batch(s, d):
     return themes.prompt_batch(alerts, REPLY_PROMPT).select("review_id", "prompt")
 
 
+@query
+def summary_prompts(s, d):
+    parts = report.polarity_text(_week(s, d, True, AS_OF_TEXT), part_size=50)
+    return themes.prompt_batch(parts, SUMMARY_PROMPT).select("place_name", "polarity", "part_no", "prompt")
+
+
+@query
+def answer_prompts(s, d):
+    asked = v.requests(s, d).select("request_id", "question")
+    found = answer_context(s, d).join(asked, "request_id")
+    return themes.prompt_batch(found, ANSWER_PROMPT).select("request_id", "prompt")
+
+
 @query
 def request_parse(s, d):
     return themes.request_parse(themes.request_text(v.requests(s, d))).select(

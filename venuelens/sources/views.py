@@ -84,6 +84,13 @@ def place_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("place_name")).distinct()
 
 
+def place_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by place id; the place of the longest name is not listed."""
+    name = F.col("place_name")
+    return place_dim(spark, sf_dir).filter(F.length(name) < 8).select(
+        F.concat(F.lit("G-"), name).alias("google_id"), F.concat(F.lit("The "), F.initcap(name)).alias("title"))
+
+
 def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's nations stand for the phones of one place; the last place has none."""
     nation = table(spark, sf_dir, "nation")
