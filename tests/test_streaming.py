@@ -78,6 +78,18 @@ def test_ids_are_read_by_bucket_and_compacted(spark, tmp_path, monkeypatch):
     assert all(len(index.folders(spark, b, 99)) <= 4 for b in range(4))
 
 
+def test_ids_of_an_older_table_are_taken_over(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    for batch_id, ids in ((-1, []), (0, ["a", None]), (12, ["b"]), (13, ["c"])):
+        jobs._write_batch(spark.createDataFrame([(i,) for i in ids], "review_id string"), sink, batch_id)
+    index = jobs.IdIndex(f"{sink}/_ids", buckets=3)
+    for _ in range(2):
+        index.begin(spark.read.schema("review_id string, batch_id long").parquet(sink))
+        before = lambda n: sorted(r[0] for r in index.read(spark, [f for b in range(3) for f in index.folders(spark, b, n)]).collect())
+        assert (before(0), before(13), before(99)) == ([], ["a", "b"], ["a", "b", "c"])
+    assert spark.read.parquet(sink).count() == 4
+
+
 def test_windows_match_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     for step in range(4):

@@ -75,6 +75,16 @@ class IdIndex:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("review_id"), F.lit(self.buckets)).cast("int")
 
+    def begin(self, table: DataFrame) -> None:
+        """Fills the folders from ``table`` (review_id, batch_id) unless that has been done: a table may be older than
+        its folders. Ids keep their batch, so a batch that is run again does not meet its own."""
+        if "_SUCCESS" in _children(table.sparkSession, self.path):
+            return
+        (table.filter(F.col("review_id").isNotNull() & (F.col("batch_id") >= 0)).select(
+            "review_id", self.bucket().alias("bucket"), F.format_string("%010d-new", "batch_id").alias("piece"))
+         .repartition("bucket", F.pmod(F.hash("review_id"), F.lit(self.splits)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket", "piece").parquet(self.path))
+
     def folders(self, spark: SparkSession, bucket: int, batch_id: int) -> list[str]:
         """Folders of one bucket that hold what batches before ``batch_id`` stored, the whole one first."""
         names = sorted(n for n in _children(spark, f"{self.path}/bucket={bucket}") if n.startswith("piece="))
@@ -120,6 +130,7 @@ def stream_ingest(src: DataFrame, sink: str, checkpoint: str, hours: int = 8,
     schema = accepted.schema
     _seed(spark, schema, sink)
     index = IdIndex(f"{sink}/_ids", buckets)
+    index.begin(spark.read.schema("review_id string, batch_id long").parquet(sink))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
