@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_rules import DEFAULTS
 from venuelens.operators.chat import chat_history, chat_routing
+from venuelens.plans.registry import QUERIES
 from venuelens.sources import tables as tb
 from venuelens.streaming import jobs
 
@@ -124,3 +125,14 @@ def test_chat_in_pieces_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{sink}/out").collect()
     assert {(r.user, r.turn): r.history for r in got if r.history is not None} == want
     assert {(r.user, r.turn): r.intent for r in got if r.intent} == intents
+
+
+def test_stream_reads_a_table_of_one_file_or_many(spark, tmp_path):
+    rows = spark.createDataFrame([(c, t, "user", "q") for c in range(40) for t in (0, 2)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    counts = {n: QUERIES["stream_chat"](spark, str(tmp_path / n)).count() for n in ("many", "one", "none")}
+    assert counts == {"many": 80, "one": 80, "none": 0}

@@ -58,8 +58,9 @@ def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a pattern path lists either."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

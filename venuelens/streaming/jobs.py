@@ -200,6 +200,8 @@ def stream_chat(src: DataFrame, sink: str, checkpoint: str, n: int = 7, parts: i
     tails = f"{sink}/tails"
     spark.createDataFrame([], state).write.mode("ignore").parquet(f"{tails}/part=-1/batch_id=-1")
     read = StructType(list(state.fields)).add("part", "integer").add("batch_id", "long")
+    shape = StructType([src.schema["user"], src.schema["turn"]])
+    _seed(spark, shape.add("messages", "integer").add("history", "string").add("intent", "string"), f"{sink}/out")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
