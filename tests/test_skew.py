@@ -1,8 +1,11 @@
 """The building blocks against plain Python, with one key holding most of the rows."""
 
 import random
+import tracemalloc
+from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -192,3 +195,19 @@ def test_inverted_file_is_exact_and_skips_far_cells(spark):
     scored = [r.scored for r in retrieval.knn_ivf(requests, corpus, cells=80, probes=2, counts=True).collect()]
     assert sum(scored) / len(scored) < 0.1 * len(rows)
     assert retrieval.knn_ivf(requests, corpus.limit(0)).count() == 0 and retrieval.knn_ivf(requests.limit(0), corpus).count() == 0
+
+
+def test_a_block_of_requests_is_scored_in_parts():
+    rng = np.random.default_rng(3)
+    vectors = lambda n: list(rng.normal(size=(n, 8)).astype("float32"))
+    day = [date(2024, 1, 1)]
+    c = pd.DataFrame({"id": range(20_000), "vec": vectors(20_000), "rating": 1, "day": day * 20_000, "cell": 0, "angle": 0.5})
+    q = pd.DataFrame({"query_id": range(1_000), "qvec": vectors(1_000), "ratings": [[1, 2]] * 1_000, "first_day": day * 1_000,
+                      "last_day": day * 1_000, "least": -2.0, "cell": 0, "angle": 0.5})
+    tracemalloc.start()
+    got = retrieval._best_of_cell(3)(q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.round(retrieval._unit(q["qvec"]) @ retrieval._unit(c["vec"]).T, retrieval.SCORE_DIGITS)
+    assert (got["score"].to_numpy().reshape(1_000, 3) == -np.sort(-scores, axis=1)[:, :3]).all() and got["scored"].sum() == 20_000_000
+    assert peak < 150e6, peak

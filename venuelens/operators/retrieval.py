@@ -124,57 +124,116 @@ def fit_centroids(corpus: DataFrame, cells: int | None = None, sample: int = SAM
     return c
 
 
+PAIRS = 1 << 20  # cells of a score matrix that a task holds at once
+
+
+def _parts(n: int, width: int) -> list[slice]:
+    """``n`` rows in parts whose matrices of ``width`` columns stay below ``PAIRS`` cells."""
+    step = max(1, PAIRS // max(width, 1))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 def inverted_file(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
     """The rows of ``corpus`` with their cell (the nearest centroid) and the angle to it."""
     def run(batches):
         for rows in batches:
             if len(rows):
-                near = np.clip(_unit(rows["embedding"]) @ centroids.T, -1, 1)
-                cell = near.argmax(axis=1)
-                yield rows.assign(cell=cell.astype(np.int32), angle=np.arccos(near[np.arange(len(rows)), cell]))
+                x, cell, cosine = _unit(rows["embedding"]), np.zeros(len(rows), np.int32), np.zeros(len(rows))
+                for part in _parts(len(rows), len(centroids)):
+                    near = x[part] @ centroids.T
+                    cell[part], cosine[part] = near.argmax(axis=1), near.max(axis=1)
+                yield rows.assign(cell=cell, angle=np.arccos(np.clip(cosine, -1, 1)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema)
     return corpus.mapInPandas(run, f"{fields}, cell int, angle double")
 
 
-def _best_of_cell(k: int):
-    """Scores the requests of a block against the vectors of a block, those that pass a request's filter and whose
-    distance bound reaches its threshold; returns ``k`` per request and how many were scored."""
-    empty = pd.DataFrame({"query_id": [], "id": [], "score": [], "scored": []}).astype(
-        {"query_id": "int64", "id": "int64", "score": "float64", "scored": "int64"})
+_FOUND = {"query_id": "int64", "id": "int64", "score": "float64", "scored": "int64"}
+
+
+def _found(parts: list[tuple]) -> pd.DataFrame:
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * len(_FOUND)
+    return pd.DataFrame(dict(zip(_FOUND, columns))).astype(_FOUND)
+
+
+def _first_k(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, good: np.ndarray, kept: np.ndarray, k: int) -> tuple:
+    """The ``k`` best of the ``kept`` pairs of each query, and beside its first one how many pairs were ``good``. A query
+    with good pairs of which none is kept gives a row without id."""
+    row, col = np.nonzero(kept)
+    score = np.round(scores[row, col], SCORE_DIGITS)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, score, place = (x[place < k] for x in (row, col, score, place))
+    n = good.sum(axis=1)
+    bare = np.flatnonzero((n > 0) & ~kept.any(axis=1))
+    return (np.concatenate([q_ids[row], q_ids[bare]]), np.concatenate([ids[col], np.full(len(bare), -1)]),
+            np.concatenate([score, np.full(len(bare), np.nan)]), np.concatenate([np.where(place == 0, n[row], 0), n[bare]]))
+
 
+def _best_of_cell(k: int):
+    """Scores the requests of a block against the vectors of a block, those that pass a request's filter; returns ``k``
+    per request and how many were scored."""
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return empty
-        c = c.sort_values("id")
-        scores = np.round(_unit(q["qvec"]) @ _unit(c["vec"]).T, SCORE_DIGITS)
-        # two vectors are at least as far apart as their angles to the centroid differ
-        apart = np.abs(q["angle"].to_numpy()[:, None] - c["angle"].to_numpy())
-        good = np.cos(apart) >= q["least"].to_numpy()[:, None] - 1e-6
+            return _found([])
+        qv, cv, ids, q_ids = _unit(q["qvec"]), _unit(c["vec"]), c["id"].to_numpy(), q["query_id"].to_numpy()
         day, first, last = (x.to_numpy(dtype="datetime64[D]") for x in (c["day"], q["first_day"], q["last_day"]))
-        good &= (day >= first[:, None]) & (day <= last[:, None])
-        rated = np.zeros(good.shape, bool)
-        for rating in c["rating"].dropna().unique():
-            wants = np.array([rating in r for r in q["ratings"]])
-            rated |= wants[:, None] & (c["rating"] == rating).to_numpy()
-        good &= rated
-        scores[~good] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        row, col = np.nonzero(np.take_along_axis(good, best, axis=1))
-        at = best[row, col]
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "id": c["id"].to_numpy()[at], "score": scores[row, at],
-                             "scored": np.where(col == 0, good.sum(axis=1)[row], 0)})
+        ratings = [(np.array([r in own for own in q["ratings"]]), (c["rating"] == r).to_numpy()) for r in c["rating"].dropna().unique()]
+        out = []
+        for part in _parts(len(q), len(c)):
+            good = np.zeros((len(q_ids[part]), len(c)), bool)
+            for wants, has in ratings:
+                good |= wants[part, None] & has
+            good &= (day >= first[part, None]) & (day <= last[part, None])
+            out.append(_first_k(q_ids[part], ids, qv[part] @ cv.T, good, good, k))
+        return _found(out)
+    return run
+
+
+def _best_beyond(k: int, centroids: np.ndarray, radius: np.ndarray):
+    """Scores the requests of a block against the vectors of a block, all of a rating and day that the requests accept:
+    cells not probed before, if their widest angle leaves room for a request's threshold, and in them the vectors
+    whose own distance bound does. Returns ``k`` per request and how many were scored."""
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return _found([])
+        near = np.stack(q["near"].to_numpy())
+        order = np.argsort(near[:, 0], kind="stable")  # requests that want the same cells stand together
+        q, near = q.iloc[order], near[order]
+        qv, cv, ids, q_ids = _unit(q["qvec"]), _unit(c["vec"]), c["id"].to_numpy(), q["query_id"].to_numpy()
+        least = q["least"].to_numpy()[:, None]
+        held, own = np.unique(c["cell"].to_numpy(), return_inverse=True)
+        # two vectors are at least as far apart as their angles to the centroid differ: cos(a - b), by its sum
+        cos_c, sin_c = np.cos(c["angle"].to_numpy()), np.sin(c["angle"].to_numpy())
+        out = []
+        for part in _parts(len(q), len(c) + len(held)):
+            cos_q = np.clip(qv[part] @ centroids[held].T, -1, 1)
+            wanted = np.cos(np.maximum(np.arccos(cos_q) - radius[held], 0)) >= least[part] - 1e-6
+            for probed in near[part].T:
+                wanted &= probed[:, None] != held
+            cols = np.flatnonzero(wanted.any(axis=0)[own])
+            if not len(cols):
+                continue
+            at = own[cols]
+            bound = cos_q[:, at] * cos_c[cols] + np.sqrt(1 - cos_q * cos_q)[:, at] * sin_c[cols]
+            good = wanted[:, at] & (bound >= least[part] - 1e-6)
+            scores = qv[part] @ cv[cols].T
+            out.append(_first_k(q_ids[part], ids[cols], scores, good, good & (scores >= least[part] - 1e-8), k))
+        return _found(out)
     return run
 
 
 def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int | None = None, probes: int = 4,
-            block_rows: int = 20_000, block_queries: int = 250, counts: bool = False) -> DataFrame:
+            block_rows: int = 20_000, block_queries: int = 5_000, counts: bool = False) -> DataFrame:
     """The rows of ``knn_filtered`` through an inverted file: vectors lie in the cell of their nearest centroid. A request
     first probes the ``probes`` nearest cells; its ``k``-th score there is a threshold, and of the other cells it only
     probes those in which the distance bound (the cell's widest angle about its centroid) leaves room for a better
     score, and in them scores only vectors whose own bound does. So nothing is missed, and how much is skipped depends on
-    how the vectors cluster. Cells and requests are cut into blocks of bounded size. With ``counts`` the result is one
-    row per request with the number of vectors scored for it. A request whose range ends before it starts gives none."""
+    how the vectors cluster. The other cells are met by rating and day, so a request travels once for each rating and
+    day it accepts, however many cells it wants. Cells and requests are cut into blocks of bounded size, and a task
+    multiplies them in parts. With ``counts`` the result is one row per request with the number of vectors scored for
+    it. A request whose range ends before it starts gives none."""
     centroids = fit_centroids(corpus, cells)
     schema = "request_id long, rank int, id long, page_content string, rating int, day date, score double"
     if not len(centroids):
@@ -184,53 +243,47 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int | Non
         "embedding", "vec").checkpoint()
     # one row per cell, at most CELLS
     widest = {r["cell"]: r["w"] for r in index.groupBy("cell").agg(F.max("angle").alias("w")).collect()}
-    held = np.array(sorted(widest), np.int64)
-    radius = np.array([widest[c] for c in held])
-
-    def probe(first: bool):
-        def run(batches):
-            for rows in batches:
-                if not len(rows):
-                    continue
-                angle = np.arccos(np.clip(_unit(rows["qvec"]) @ centroids[held].T, -1, 1))
-                order = np.argsort(angle, axis=1, kind="stable")
-                near = np.zeros(angle.shape, bool)
-                np.put_along_axis(near, order[:, :probes], True, axis=1)
-                if first:
-                    wanted = near
-                else:
-                    bound = np.cos(np.maximum(angle - radius, 0))
-                    wanted = ~near & (bound >= rows["least"].to_numpy()[:, None] - 1e-6)
-                i, j = np.nonzero(wanted)
-                yield rows.iloc[i].assign(cell=held[j].astype(np.int32), angle=angle[i, j])
-        return run
+    held = np.array(sorted(widest), np.int32)
+    radius = np.zeros(len(centroids))
+    radius[held] = [widest[c] for c in held.tolist()]
+
+    def nearest(batches):
+        for rows in batches:
+            if len(rows):
+                x = _unit(rows["qvec"])
+                near = [held[np.argsort(-(x[part] @ centroids[held].T), axis=1, kind="stable")[:, :probes]] for part in _parts(len(x), len(held))]
+                yield rows.assign(near=list(np.concatenate(near)))
 
     ratings = F.filter(F.array_distinct(F.transform(F.split("rating", ",", -1), lambda r: F.trim(r).try_cast("int"))), lambda r: r.isNotNull())
     asked = (queries.select(F.col("request_id").alias("query_id"), F.col("embedding").alias("qvec"), ratings.alias("ratings"),
                             F.col("start_date").cast("date").alias("first_day"), F.col("end_date").cast("date").alias("last_day"))
              .filter("last_day >= first_day"))
-    q_schema = "query_id long, qvec array<float>, ratings array<int>, first_day date, last_day date, least double, cell int, angle double"
+    # kept, so that both searches agree on which cells were probed
+    asked = asked.mapInPandas(nearest, "query_id long, qvec array<float>, ratings array<int>, first_day date, last_day date, near array<int>").checkpoint()
 
-    def scored(side: DataFrame) -> DataFrame:
-        sizes = lambda df, per, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
-        grid = sizes(index.select("cell"), block_rows, "nc").join(sizes(side.select("cell"), block_queries, "nq"), "cell")
+    def scored(side: DataFrame, cells: list[str], best) -> DataFrame:
+        sizes = lambda df, per, name: df.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+        grid = sizes(index.select(*cells), block_rows, "nc").join(sizes(side.select(*cells), block_queries, "nq"), cells)
         own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        c = index.join(grid, "cell").withColumn("cb", own("id", "nc")).withColumn("qb", upto("nq")).drop("nc", "nq")
-        q = side.join(grid, "cell").withColumn("qb", own("query_id", "nq")).withColumn("cb", upto("nc")).drop("nc", "nq")
-        keys = ["cell", "cb", "qb"]
-        return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_best_of_cell(k), "query_id long, id long, score double, scored long")
+        c = index.join(grid, cells).withColumn("cb", own("id", "nc")).withColumn("qb", upto("nq")).drop("nc", "nq")
+        q = side.join(grid, cells).withColumn("qb", own("query_id", "nq")).withColumn("cb", upto("nc")).drop("nc", "nq")
+        keys = [*cells, "cb", "qb"]
+        return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double, scored long")
 
-    none = F.lit(-2.0).alias("least")  # below every cosine
-    near = scored(asked.select("*", none).mapInPandas(probe(True), q_schema)).checkpoint()
+    near = scored(asked.withColumn("cell", F.explode("near")).drop("near"), ["cell"], _best_of_cell(k)).checkpoint()
     best = [F.col("score").desc(), F.col("id")]
     kth = top_k(near, ["query_id"], best, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    rest = asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-    far = scored(rest.select(*asked.columns, "least").mapInPandas(probe(False), q_schema).checkpoint())
-    found = near.unionByName(far)
+    none = F.lit(-2.0)  # below every cosine
+    days = F.sequence("first_day", "last_day")
+    rest = each(each(asked.join(kth, "query_id", "left").select("query_id", "qvec", "near", F.coalesce("least", none).alias("least"),
+                                                                "ratings", days.alias("days")),
+                     F.col("ratings"), "rating").drop("ratings"), F.col("days"), "day").drop("days")
+    found = near.unionByName(scored(rest, ["rating", "day"], _best_beyond(k, centroids, radius)))
     if counts:
         return found.groupBy(F.col("query_id").alias("request_id")).agg(F.sum("scored").alias("scored"))
-    return _with_content(top_k(found.drop("scored"), ["query_id"], best, k).withColumnRenamed("query_id", "request_id"), corpus)
+    found = found.filter("not isnan(score)").drop("scored")
+    return _with_content(top_k(found, ["query_id"], best, k).withColumnRenamed("query_id", "request_id"), corpus)
 
 
 def answer_context(hits: DataFrame) -> DataFrame:
