@@ -1,7 +1,10 @@
 """The building blocks against plain Python, with one key holding most of the rows."""
 
+import math
 import random
+import re
 import tracemalloc
+from collections import Counter
 from datetime import date
 
 import numpy as np
@@ -211,3 +214,33 @@ def test_a_block_of_requests_is_scored_in_parts():
     scores = np.round(retrieval._unit(q["qvec"]) @ retrieval._unit(c["vec"]).T, retrieval.SCORE_DIGITS)
     assert (got["score"].to_numpy().reshape(1_000, 3) == -np.sort(-scores, axis=1)[:, :3]).all() and got["scored"].sum() == 20_000_000
     assert peak < 150e6, peak
+
+
+@pytest.mark.parametrize("block_words", [7, 400_000])
+def test_similar_questions_in_blocks_agree_with_brute_force(spark, block_words):
+    random.seed(9)
+    words = ["the"] * 8 + [f"w{i}" for i in range(25)]
+    text = lambda: " ".join(random.choices(words, k=random.randrange(0, 7)))
+    old = [(i, t, f"query {i}") for i, t in enumerate([text() for _ in range(60)] + ["the", "", "?", None, "w1 w2", "W2, w1", "w1 w2"])]
+    new = [(1000 + i, t) for i, t in enumerate([text() for _ in range(30)] + ["unheard of", "", "the", None, "w1 w2", "w1 w2"])]
+    first = {}
+    for i, t, _ in old:
+        if t is not None:
+            first.setdefault(t, i)
+    split = lambda t: [w for w in re.split(r"[^\w']+", t.lower()) if w]
+    df = Counter(w for t in first for w in set(split(t)))
+
+    def unit(t):
+        v = {w: n * math.log((len(first) + 1) / (df[w] + 1)) for w, n in Counter(split(t)).items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()} if length else {}
+
+    vectors, want = {i: unit(t) for t, i in first.items()}, set()
+    for i, t in new:
+        if t is not None:
+            v = unit(t)
+            scored = sorted((-round(sum(x * c.get(w, 0) for w, x in v.items()), 9), j) for j, c in vectors.items())
+            want |= {(i, rank, j, f"query {j}") for rank, (_, j) in enumerate(scored[:5], 1)}
+    got = retrieval.similar_questions(spark.createDataFrame(new, "question_id long, text string"),
+                                      spark.createDataFrame(old, "question_id long, text string, query string"), block_words=block_words)
+    assert {(r.question_id, r["rank"], r.example_id, r["query"]) for r in got.collect()} == want

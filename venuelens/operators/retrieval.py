@@ -331,48 +331,59 @@ def term_vectors(docs: DataFrame, key: str, known: DataFrame) -> DataFrame:
     return docs.select(key).join(made, key, "left").select(key, F.coalesce("v", none).alias("v"))
 
 
-def similar_questions(new: DataFrame, stored: DataFrame, k: int = 5, hot_rows: int = 1000) -> DataFrame:
+def _best_of_texts(k: int):
+    """Scores the questions of a block (q, term, w) against the texts of a block (id, term, w) by the postings of the
+    block; returns ``k`` texts of a score above 0 per question."""
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        code, terms = pd.factorize(c["term"])
+        q = q.assign(code=pd.Index(terms).get_indexer(q["term"])).query("code >= 0").sort_values(["q", "term"])
+        ids, at = np.unique(c["id"].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        at, w, ends = at[order], c["w"].to_numpy()[order], np.searchsorted(code[order], np.arange(len(terms) + 1))
+        asked, first = np.unique(q["q"].to_numpy(), return_index=True)
+        q_code, q_w, out = q["code"].to_numpy(), q["w"].to_numpy(), []
+        for name, lo, hi in zip(asked, first, [*first[1:], len(q)]):
+            own = [slice(ends[t], ends[t + 1]) for t in q_code[lo:hi]]
+            scores = np.bincount(np.concatenate([at[s] for s in own]),
+                                 np.concatenate([w[s] * x for s, x in zip(own, q_w[lo:hi])]), len(ids))
+            least = np.partition(scores, -k)[-k] - 1e-8 if len(ids) > k else 0.0
+            near = np.flatnonzero((scores >= least) & (scores > 0))
+            score = np.round(scores[near], SCORE_DIGITS)
+            best = np.lexsort((ids[near], -score))[:k]
+            out.append((np.full(len(best), name), ids[near[best]], score[best]))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("q", "id", "score"), columns))).astype({"q": "int64", "id": "int64", "score": "float64"})
+    return run
+
+
+def similar_questions(new: DataFrame, stored: DataFrame, k: int = 5, block_words: int = 400_000) -> DataFrame:
     """The ``k`` stored questions closest to each new one by TF-IDF cosine, ties to the smaller id. ``new`` has
     ``question_id`` and ``text``, ``stored`` also the ``query`` that answered it. Equal texts are scored once.
 
-    Exact: candidates share a word that at most ``hot_rows`` stored texts have. A text that shares only hotter
-    words scores at most the length of the question's part in those words, so a question whose ``k``-th score
-    beats that is done. The others meet the hot words too, salted, and the 2k smallest ids, which hold all texts
-    of score 0 that could be among the first ``k``."""
+    Exact: questions and texts are cut into blocks of about ``block_words`` words of their own, and a task meets two
+    blocks through the postings of one, so pairs are neither stored nor shuffled and no word is a key. The 2k smallest
+    ids hold all texts of score 0 that could be among the first ``k``."""
     new = new.filter(F.col("text").isNotNull())
     stored = stored.filter(F.col("text").isNotNull())
     shared_dir(new.sparkSession)
     unique = stored.groupBy("text").agg(F.min("question_id").alias("id")).checkpoint()
     asked = new.groupBy("text").agg(F.min("question_id").alias("q")).checkpoint()
-    c = term_vectors(unique, "id", unique).checkpoint()
-    q = term_vectors(asked, "q", unique).checkpoint()
-    c_index = each(c, F.col("v"), "t").select("id", "t.term")
-    q_index = each(q, F.col("v"), "t").select("q", "t.term", "t.w")
-    hot = (c_index.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("salts"))
-           .filter(F.col("salts") > 1))
-    q_hot = q_index.join(hot, "term")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        dot = F.aggregate("qv", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.get(F.transform(
-            F.filter("cv", lambda y: y["term"] == x["term"]), lambda y: y["w"]), F.lit(0)), F.lit(0.0)))
-        both = (pairs.join(q.withColumnRenamed("v", "qv"), "q").join(c.withColumnRenamed("v", "cv"), "id"))
-        return top_k(both.select("q", "id", F.round(dot, SCORE_DIGITS).alias("score")), ["q"],
-                     [F.col("score").desc(), F.col("id")], k)
-
-    rare = q_index.join(hot, "term", "left_anti").join(c_index, "term").select("q", "id").distinct()
-    first = scored(rare)
-    bound = q_hot.groupBy("q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bound"))
-    kth = first.filter(F.col("rank") == k).select("q", F.col("score").alias("kth"))
-    # a rounding's width above the bound; without a k-th score the question is open
-    done = kth.join(bound, "q", "left").filter(F.col("kth") > F.coalesce("bound", F.lit(0.0)) + 1e-8).select("q")
-    still = asked.join(done, "q", "left_anti").select("q").checkpoint()
-    salted = q_hot.join(still, "q", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    by_hot = salted.select("q", "term", "salt").join(
-        c_index.join(hot, "term").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), ["term", "salt"])
+
+    def index(docs: DataFrame, key: str) -> DataFrame:
+        return each(term_vectors(docs, key, unique), F.col("v"), "t").select(key, "t.term", "t.w").filter("w > 0").checkpoint()
+
+    c, q = index(unique, "id"), index(asked, "q")
+    blocks = lambda df: max(1, -(-df.count() // block_words))
+    nc, nq = blocks(c), blocks(q)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = c.withColumn("cb", own("id", nc)).withColumn("qb", upto(nq))
+    q = q.withColumn("qb", own("q", nq)).withColumn("cb", upto(nc))
+    keys = ["cb", "qb"]
+    near = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_best_of_texts(k), "q long, id long, score double")
     least = [r["id"] for r in unique.orderBy("id").limit(2 * k).select("id").collect()]
-    filler = still.select("q", F.explode(F.array(*[F.lit(i) for i in least]).cast("array<long>")).alias("id"))
-    again = rare.join(still, "q", "left_semi").unionByName(by_hot.select("q", "id")).unionByName(filler).distinct()
-    hits = first.join(done, "q", "left_semi").unionByName(scored(again))
+    filler = asked.select("q", F.explode(F.array(*[F.lit(i) for i in least]).cast("array<long>")).alias("id"), F.lit(0.0).alias("score"))
+    hits = top_k(near.unionByName(filler).groupBy("q", "id").agg(F.max("score").alias("score")), ["q"], [F.col("score").desc(), F.col("id")], k)
     examples = stored.select(F.col("question_id").alias("id"), F.col("text").alias("example"), "query")
     return (hits.join(asked, "q").join(new.select("question_id", "text"), "text").join(examples, "id")
             .select("question_id", "rank", F.col("id").alias("example_id"), "example", "query", "score"))
