@@ -346,3 +346,14 @@ def test_titles_and_alert_chain(spark):
         "review_datetime_utc", F.date_format(F.lit(AS_OF), "M/d/yyyy H:m:s"))
     fresh, messages = ingest.alert_chain(raw, reviews(spark, dict(review_id="old")), phones, AS_OF)
     assert rows(fresh, "review_id") == [("good",), ("new",)] and rows(messages, "review_id", "phone") == [("new", "p")]
+
+
+def test_texts_of_one_split_are_dealt_over_tasks(spark, monkeypatch):
+    at = dict(review_datetime_utc=datetime(2024, 1, 20))
+    df = reviews(spark, *[dict(review_id=str(i), review_text=f"soup {i % 7} great {i}! " * 20, review_rating=1 + i % 5, **at) for i in range(400)]).coalesce(1)
+    week = report.current_week(df, AS_OF)
+    whole = [rows(q(week), *q(week).columns) for q in (themes.key_phrases, themes.review_digest)]
+    monkeypatch.setattr(themes, "TASK_BYTES", 8_000)
+    sizes = [sum(len(r.review_text) for r in part) for part in themes.dealt(week).rdd.glom().collect()]
+    assert sum(sizes) > 100_000 and len(sizes) >= sum(sizes) / 8_000 and max(sizes) < 24_000
+    assert [rows(q(week), *q(week).columns) for q in (themes.key_phrases, themes.review_digest)] == whole

@@ -10,21 +10,39 @@ from pyspark.sql import functions as F
 from venuelens.functions import text as T
 from venuelens.operators.report import polarity_split
 from venuelens.operators.skew import top_k
+from venuelens.session import shared_dir
 
 NO_REVIEWS = "No reviews available."  # fixed value
 POLARITIES = ("positive", "negative")
 PIECES = 64
+TASK_BYTES = 4 << 20  # of text, whose phrases one task counts
+
+
+def dealt(week: DataFrame) -> DataFrame:
+    """The week's reviews with text and their polarity, stored once and dealt over tasks of ``TASK_BYTES`` of text: reviews
+    of a week lie in few splits of a table, and a task's phrases need many times the memory of its texts."""
+    spark = week.sparkSession
+    shared_dir(spark)
+    split = polarity_split(week).select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text")
+    size = split.agg(F.sum(F.octet_length("review_text").cast("long"))).first()[0] or 0
+    upto = lambda per: -(-size // per)
+    tasks = max(1, upto(TASK_BYTES), min(upto(TASK_BYTES // 64), spark.sparkContext.defaultParallelism))
+    return split.repartition(tasks, F.xxhash64("review_id", "review_datetime_utc", "review_text")).checkpoint()
 
 
 def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
     """Words and word pairs that tell a place's positive from its negative reviews. The weight is
     the log ratio of smoothed document shares; each review counts a phrase once, and the
     counts are combined map-side before the shuffle."""
-    split = polarity_split(week).withColumn("is_pos", (F.col("polarity") == "positive").cast("int"))
+    return _phrases(dealt(week), n, ngram)
+
+
+def _phrases(rows: DataFrame, n: int, ngram: int) -> DataFrame:
+    split = rows.withColumn("is_pos", (F.col("polarity") == "positive").cast("int"))
     totals = split.groupBy("place_name").agg(F.sum("is_pos").alias("pos_docs"),
                                              F.sum(1 - F.col("is_pos")).alias("neg_docs"))
     worded = split.select("place_name", "is_pos", T.words(F.col("review_text")).alias("words"))
-    counts = (T.each(worded, T.grams(F.col("words"), ngram), "phrase")
+    counts = (T.each(worded, T.grams(F.col("words"), ngram), "phrase").drop("words")
               .groupBy("place_name", "phrase").agg(F.sum("is_pos").alias("pos"),
                                                    F.sum(1 - F.col("is_pos")).alias("neg")))
     share = lambda c, total: (F.col(c) + 1) / (F.col(total) + 2)
@@ -45,22 +63,23 @@ def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
 def sentences(rows: DataFrame, max_words: int) -> DataFrame:
     """Sentences of the review texts; a run of more than ``max_words`` words is cut into pieces of so many. Equal ones of a place and polarity become one row,
     placed where the first of them stood."""
-    found = F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip)
     words = lambda s: F.filter(F.split(s, r"\s+", -1), lambda w: w != "")
+    # a sentence's words are an argument of the next step, as an expression they would be split again for every piece
+    found = F.transform(F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip), lambda s: F.struct(s.alias("s"), words(s).alias("w")))
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(max_words)),
                                 lambda i: F.array_join(F.slice(w, i, F.lit(max_words)), " "))
-    pieces = F.flatten(F.transform(found, lambda s: F.when(F.size(words(s)) > max_words, cut(words(s))).otherwise(F.array(s))))
+    pieces = F.flatten(F.transform(found, lambda x: F.when(F.size(x["w"]) > max_words, cut(x["w"])).otherwise(F.array(x["s"]))))
     each = T.each(rows.select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text"),
-                  pieces, "sentence", "pos").filter(F.col("sentence") != "")
+                  pieces, "sentence", "pos").drop("review_text").filter(F.col("sentence") != "")
     return (each.groupBy("place_name", "polarity", "sentence")
             .agg(F.min(F.struct("review_datetime_utc", "review_id", "pos")).alias("place_in_text")))
 
 
 def review_digest(week: DataFrame, max_words: int = 200, n: int = 20, ngram: int = 2) -> DataFrame:
     """The heaviest sentences per place and polarity, up to ``max_words`` words in all."""
-    rows = polarity_split(week)
+    rows = dealt(week)  # read twice
     # at most n phrases per place and polarity travel as one array; sentences meet it in pieces
-    weights = (key_phrases(week, n, ngram).groupBy("place_name", "polarity")
+    weights = (_phrases(rows, n, ngram).groupBy("place_name", "polarity")
                .agg(F.collect_list(F.struct("phrase", "weight")).alias("phrases"))
                .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))))
     lines = sentences(rows, max_words).withColumn("n_words", F.size(F.filter(
