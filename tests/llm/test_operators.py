@@ -404,3 +404,15 @@ def test_pipeline_on_empty_unlabelled_and_edge_rows(spark, edges, empty):
                 assert out.columns == docs.columns
             docs = out
         assert kept is None or docs.count() == kept
+
+
+def test_fitting_languages_holds_one_copy_of_the_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.random((2000, langid.DIM), np.float32)
+    tracemalloc.start()
+    langid.train(x, ["en", "de"] * 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.4 * x.nbytes, peak  # with the column of ones, and the rows of two languages

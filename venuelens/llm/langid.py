@@ -99,13 +99,17 @@ def _descend(x: np.ndarray, w: np.ndarray, gradient, steps: int, rate: float) ->
 
 
 def train(x: np.ndarray, langs: list[str]) -> Model:
+    return _train(np.hstack([x, np.ones((len(x), 1), np.float32)]), langs)
+
+
+def _train(x: np.ndarray, langs: list[str]) -> Model:
+    """``x`` has a last column of ones. No other array of its size is made but the rows of two languages."""
     if not langs:
         return Model([], [], [], np.zeros((DIM + 1, 0), np.float32))
     languages = sorted(set(langs))
     y = np.array([languages.index(v) for v in langs], int)
     families = sorted({family(v) for v in languages})
     fam = np.array([families.index(family(v)) for v in languages], int)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     goal = np.eye(len(families), dtype=np.float32)[fam[y]]
 
     def softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -120,7 +124,7 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
         sign = np.where(y[rows] == i, 1.0, -1.0).astype(np.float32)[:, None]
 
         def hinge(x: np.ndarray, w: np.ndarray, sign=sign) -> np.ndarray:
-            return -2 * x.T @ (sign * np.maximum(0, 1 - sign * (x @ w))) / len(x)
+            return x.T @ (-2 * sign * np.maximum(0, 1 - sign * (x @ w))) / len(x)
 
         columns.append(_descend(x[rows], np.zeros((DIM + 1, 1), np.float32), hinge, 150, 0.1))
     return Model(languages, families, pairs, np.hstack(columns).astype(np.float32))
@@ -160,8 +164,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     got = sample.mapInArrow(run, "doc_id long, lang string, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(len(got), DIM)
-    return train(x, [r["lang"] for r in got])
+    langs = [r["lang"] for r in got]
+    x = np.ones((len(got), DIM + 1), np.float32)
+    for at in reversed(range(len(got))):
+        x[at, :DIM] = np.frombuffer(got.pop()["x"], np.float16)  # a row goes as its features are taken
+    return _train(x, langs)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
