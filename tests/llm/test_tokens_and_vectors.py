@@ -1,6 +1,7 @@
 """Whitening, token alignment and token-id shards against brute force, with edge rows."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -52,6 +53,53 @@ def test_runs_have_the_ids_of_the_whole_text():
         assert not text or a == tokens.byte_bpe(raw_a, True).encode(" " + text, add_special_tokens=False).ids, repr(text)
 
 
+def test_pieces_have_the_ids_of_the_whole_text():
+    """At every white space, mark and letter of one kind beside those of another, in texts that follow each other."""
+    raw_a, rng = raw(A), random.Random(8)
+    of = tokens.byte_bpe(raw_a)
+    odd = [*"aZ09 \n\t'\".,é×÷ßÿŃЖя҃\r\x0b\x1c\x1f\x00\x7f\x85\xa0\u1680\u180e\u2003\u2028\u3000\u200b中한«”½", "'s", "'ll", "  ", " \n", "\n\n", "<|endoftext|>", "<|", "|>"]
+    around = [f"a{c}b{c}1{c}{c}.{c} x {c}\n{c} {c}'s{c}a  {c}  \n{c}\nd\n\n{c}" for c in map(chr, [*range(0x600), *range(0x1600, 0x1900), *range(0x2000, 0x2100),
+                                                                                             *range(0x2FF0, 0x3010)])]
+    mixed = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 20))) for _ in range(8000)]
+    for part in (around, mixed, ["", " ", "", "x", " "], [""], []):
+        want = of.encode_batch_fast(part, add_special_tokens=False)
+        for text, got, e in zip(part, token_store.encoded(part, raw_a, 2), want, strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == e.ids, repr(text)
+
+
+def test_other_patterns_are_cut_into_runs():
+    made = json.loads(raw(A))
+    made["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}, "behavior": "Isolated", "invert": False},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    other = json.dumps(made).encode()
+    part = ["one,two 12345.six", "(the of) the-of", ""]
+    want = [e.ids for e in tokens.byte_bpe(other).encode_batch_fast(part, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in token_store.encoded(part, other, 2)] == want
+    assert want[0] != tokens.byte_bpe(raw(A)).encode(part[0], add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once_beside_any_marks(monkeypatch):
+    seen, encode = [], tokens.encode_runs
+    monkeypatch.setattr(tokens, "encode_runs", lambda raw, runs, *more: seen.extend(runs) or encode(raw, runs, *more))
+    words = [f" {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}xylophone" for i in range(100)]
+    part = ["".join(w + m for w in words) for m in (",", ".", "!?", ":", ".\n", ";", " (", "")]
+    assert sum(map(len, token_store.encoded(part, raw(A), 2)))
+    assert sum("xylophone" in r for r in seen) == len(words)
+
+
+def test_a_full_table_keeps_what_is_often_met(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    seen = []
+    table = tokens.Table(lambda missing: seen.extend(missing) or [(r, len(r)) for r in missing])
+    often, long = [f"often{i}" for i in range(20)], "x" * (tokens.LONGEST_KEPT + 1)
+    for turn in range(30):
+        wanted = [*often, *(f"once{turn}.{i}" for i in range(20)), long]
+        assert table.of(wanted) == [len(r) for r in wanted]
+        assert len(table.young) + len(table.old) <= 3 * 50
+    assert Counter(seen)[often[0]] == Counter(seen)["once3.0"] == 1 and Counter(seen)[long] == 30
+
+
 # --- alignment ---
 
 def brute_alignment(rows):

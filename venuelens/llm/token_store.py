@@ -7,15 +7,16 @@ the documents' ends in the id array, the id array. A file may have bytes after t
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ HEADER_BYTES = struct.calcsize(HEADER)
 SHARD_IDS = 1 << 22   # a shard ends with the document that reaches so many ids
 END_ID = 0
 RANK_WORDS = 8        # words of 64 bits between two counts of the select structure
+TOGETHER = 1 << 21    # bytes of the texts whose words are told apart together
 
 
 @dataclass
@@ -139,7 +141,9 @@ def shard_bytes(part: int, number: int, doc_ids: list[int | None], lengths: list
 
 @lru_cache(maxsize=2)
 def _encoder(raw: bytes, width: int) -> tokens.Table:
-    """Ids of runs as packed bytes; one table per worker process."""
+    """Ids of runs as packed bytes; one table per worker process. A task has one core, so the library starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
     def compute(missing: list[str]) -> Iterator[tuple[str, bytes]]:
         runs, ids, counts = tokens.encode_runs(raw, missing)
         packed, ends = ids.astype(f"<u{width}").tobytes(), (np.cumsum(counts) * width).tolist()
@@ -148,14 +152,20 @@ def _encoder(raw: bytes, width: int) -> tokens.Table:
     return tokens.Table(compute)
 
 
-def encoded(texts: list[str], raw: bytes, width: int) -> Iterator[bytes]:
-    """The packed ids of each text."""
-    table = _encoder(raw, width)
-    for part in tokens.batches_of(texts):
-        cut = [tokens.spaced(t) for t in texts[part]]
-        known = table.of(chain.from_iterable(cut))
-        for runs in cut:
-            yield b"".join(map(known.__getitem__, runs))
+def encoded(texts: list[str] | pa.Array, raw: bytes, width: int) -> Iterator[bytes]:
+    """The packed ids of each text; null is empty."""
+    table, at = _encoder(raw, width), 0
+    texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+    total = np.cumsum(pc.binary_length(texts).to_numpy())
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER, side="right")))
+        found, bounds = tokens.pieces(texts.slice(at, to - at), raw)
+        packed = pa.array(table.of(found.dictionary.to_pylist()), pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1)[bounds].tolist()
+        ids = memoryview(packed.buffers()[2] or b"")
+        for start, end in zip(ends, ends[1:]):
+            yield bytes(ids[start:end])
+        at = to
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -181,8 +191,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts, vocab.value, width)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), vocab.value, width)):
                 names.append(doc_id)
                 lengths.append(len(ids) // width + 1)
                 held += [ids, end]

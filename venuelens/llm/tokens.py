@@ -2,16 +2,20 @@
 
 A text is cut at single spaces between two characters that are no white space. Both tokenizers always end a token
 there and look at nothing beyond, so the runs' ids, one after the other, are the ids of the whole text. Runs are
-Zipfian, so most come from a table of the worker process.
+Zipfian, so most come from a table of the worker process. Where only byte-level ids are asked for, ``pieces`` cuts
+finer, at every place where the pattern of that tokenizer surely ends a word, over the bytes of many texts at once.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 GAP = re.compile(r" (?=\S)(?<=\S )")  # Python's white space contains that of the tokenizers
@@ -40,23 +44,26 @@ def byte_table() -> dict[str, int]:
 
 
 class Table:
-    """Values of runs, computed for many missing ones together and remembered up to a bound."""
+    """Values of runs, computed for many missing ones together. Short ones are remembered in two generations of about
+    half of ``KEPT``: a full one becomes the old one, and a run met there moves to the young one, so often met runs stay."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable[tuple[str, object]]]):
-        self.compute, self.known, self.passing = compute, {}, []
-
-    def of(self, wanted: Iterable[str]) -> dict:
-        """A table that holds every wanted run; valid until the next call."""
-        for run in self.passing:
-            del self.known[run]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        missing = list(dict.fromkeys([r for r in wanted if r not in known]))
+        self.compute, self.young, self.old = compute, {}, {}
+
+    def of(self, wanted: list[str]) -> list:
+        """The value of each wanted run; they differ."""
+        if len(self.young) > KEPT // 2:
+            self.young, self.old = {}, self.young
+        values = list(map(self.young.get, wanted))
+        places = [i for i, v in enumerate(values) if v is None]
+        met = {wanted[i]: self.old.get(wanted[i]) for i in places}
+        missing = [r for r, v in met.items() if v is None]
         if missing:
-            self.known.update(self.compute(missing))
-        self.passing = [r for r in missing if len(r) > LONGEST_KEPT]
-        return self.known
+            met.update(self.compute(missing))
+        for i in places:
+            values[i] = met[wanted[i]]
+        self.young.update((r, v) for r, v in met.items() if len(r) <= LONGEST_KEPT)
+        return values
 
 
 def spaced(text: str) -> list[str]:
@@ -65,6 +72,89 @@ def spaced(text: str) -> list[str]:
     return [out[0][1:], *out[1:]] if out else []
 
 
+# --- places where the byte-level pattern ends a word, whatever stands before or after ---
+#
+# The pattern is '(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+ and never looks back. So a word
+# ends between characters of two kinds, but for an apostrophe before a letter; before white space; before the last white
+# space ahead of another character; and behind it, but for a space, which goes with what follows. Only bytes whose kind
+# is sure have one: ASCII, and the letters U+00C0 to U+01FF and U+0400 to U+047F. At others the text stays whole.
+
+PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, WHITE, MAYBE_WHITE = range(7)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KIND[ord("0"):ord("9") + 1] = DIGIT
+KIND[ord("'")] = APOSTROPHE
+KIND[[0x20, *range(0x09, 0x0E)]] = WHITE
+KIND[0x1C:0x20] = MAYBE_WHITE
+LETTER_LEADS = np.zeros(256, bool)
+LETTER_LEADS[[*range(0xC3, 0xC8), 0xD0, 0xD1]] = True  # of two bytes, all letters but U+00D7 and U+00F7
+WHITE_STARTS = (0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380)  # first two bytes of all white space beyond ASCII
+ENDS = np.zeros((7, 7), bool)  # whether a word ends between two kinds
+ENDS[LETTER, [DIGIT, MARK, APOSTROPHE, WHITE]] = True
+ENDS[DIGIT, [LETTER, MARK, APOSTROPHE, WHITE]] = True
+ENDS[MARK, [LETTER, DIGIT, WHITE]] = True
+ENDS[APOSTROPHE, WHITE] = True
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8."""
+    kind = KIND[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first, second = data[lead], data[lead + 1]
+        sure = lead[LETTER_LEADS[first] & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)))]
+        kind[sure] = kind[sure + 1] = LETTER
+        kind[lead[np.isin(first.astype(np.uint16) << 8 | second, WHITE_STARTS)]] = MAYBE_WHITE
+    return kind
+
+
+def word_ends(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A flag for every byte and the end: whether texts that begin at ``starts``, none empty, are cut before it."""
+    kind, cut = kinds(data), np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ENDS.ravel()[kind[:-1] * np.uint8(7) + kind[1:]]
+    ahead = kind == WHITE  # white space with another character behind it in the same text
+    ahead[:-1] &= kind[1:] < WHITE
+    ahead[starts - 1] = False  # the last byte of each text; that of the last one by way of -1
+    cut[:-1] |= ahead
+    cut[1:] |= ahead & (data != 0x20)
+    cut[starts] = cut[-1] = True
+    return cut
+
+
+@lru_cache(maxsize=2)
+def fine_rule(raw: bytes) -> tuple[bool, tuple[str, ...]]:
+    """Whether words of a vocabulary end by the pattern above, and its added tokens, which are found before that."""
+    made = byte_bpe(raw)
+    split = json.loads(made.pre_tokenizer.__getstate__()) if made.pre_tokenizer else {}
+    fine = made.normalizer is None and {k: split.get(k) for k in PATTERN} == PATTERN
+    return fine, tuple(t.content for t in made.get_added_tokens_decoder().values())
+
+
+def pieces(texts: pa.LargeStringArray, raw: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the pieces of the texts, none null, one after the other, the number of pieces before each text and in all). Texts
+    that hold an added token are cut into runs, as are all when the vocabulary has another pattern."""
+    _, offsets, content = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    first, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+    if not size:
+        return pa.array([], pa.large_string()).dictionary_encode(), np.zeros(len(bounds), np.int64)
+    data, bounds = np.frombuffer(content, np.uint8, size, first), bounds - first
+    fine, added = fine_rule(raw)
+    cut = word_ends(data, bounds[:-1][np.diff(bounds) > 0])
+    coarse = np.full(len(texts), not fine)
+    for token in added:
+        coarse |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(coarse):
+        at = bounds[i] + np.cumsum([len(r.encode()) for r in spaced(texts[i].as_py())], dtype=np.int64)
+        cut[bounds[i] + 1:bounds[i + 1]] = False
+        cut[at] = True
+    at = np.flatnonzero(cut)
+    found = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+    return found.dictionary_encode(), np.searchsorted(at, bounds)
+
+
 def file_bytes(spark: SparkSession, path: str):
     """The vocabulary file, read where the driver runs and sent to the executors once; 2 MB at most here."""
     with open(path, "rb") as f:
