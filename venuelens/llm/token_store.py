@@ -160,7 +160,7 @@ def encoded(texts: list[str] | pa.Array, raw: bytes, width: int) -> Iterator[byt
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER, side="right")))
         found, bounds = tokens.pieces(texts.slice(at, to - at), raw)
-        packed = pa.array(table.of(found.dictionary.to_pylist()), pa.large_binary()).take(found.indices)
+        packed = pa.array(table.of(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
         ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1)[bounds].tolist()
         ids = memoryview(packed.buffers()[2] or b"")
         for start, end in zip(ends, ends[1:]):
