@@ -72,6 +72,12 @@ def each(df: DataFrame, values: Column, name: str, position: str | None = None)
     return rows.filter(F.col(name).isNotNull())
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """A computed column that later steps use as it is. From a plain one Spark takes the expression, and evaluates it at
+    each use and for each element of a loop around it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def without_numbers(value: Column) -> Column:
     """Stand-alone whole numbers removed, then trimmed."""
     return strip(F.regexp_replace(value, r"\b\d+\b", ""))

@@ -8,43 +8,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens.functions import text as T
+from venuelens.operators.packed import telling_texts
 from venuelens.operators.report import polarity_split
 from venuelens.operators.skew import top_k
-from venuelens.session import shared_dir
+from venuelens.session import stored
 
 NO_REVIEWS = "No reviews available."  # fixed value
 POLARITIES = ("positive", "negative")
 PIECES = 64
 TASK_BYTES = 4 << 20  # of text, whose phrases one task counts
+PACKED_TASKS = 2  # so many tasks' worth of packed counts is added up at once
 
 
-def dealt(week: DataFrame) -> DataFrame:
-    """The week's reviews with text and their polarity, stored once and dealt over tasks of ``TASK_BYTES`` of text: reviews
+def week_texts(week: DataFrame) -> DataFrame:
+    """The week's reviews with text and their polarity, stored once, as their texts are read several times."""
+    return stored(polarity_split(week).select(
+        "place_name", "polarity", "review_datetime_utc", "review_id", "review_text"), "week-texts")
+
+
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("review_text").cast("long"))).first()[0] or 0
+
+
+def dealt(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """Reviews dealt over tasks of ``TASK_BYTES`` of text, of ``size`` in all: those
     of a week lie in few splits of a table, and a task's phrases need many times the memory of its texts."""
-    spark = week.sparkSession
-    shared_dir(spark)
-    split = polarity_split(week).select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text")
-    size = split.agg(F.sum(F.octet_length("review_text").cast("long"))).first()[0] or 0
-    upto = lambda per: -(-size // per)
-    tasks = max(1, upto(TASK_BYTES), min(upto(TASK_BYTES // 64), spark.sparkContext.defaultParallelism))
-    return split.repartition(tasks, F.xxhash64("review_id", "review_datetime_utc", "review_text")).checkpoint()
+    size = text_bytes(rows) if size is None else size
+    tasks = max(1, -(-size // TASK_BYTES), min(-(-64 * size // TASK_BYTES), rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(tasks, F.xxhash64("review_id", "review_datetime_utc", "review_text"))
 
 
 def key_phrases(week: DataFrame, n: int = 20, ngram: int = 2) -> DataFrame:
     """Words and word pairs that tell a place's positive from its negative reviews. The weight is
-    the log ratio of smoothed document shares; each review counts a phrase once, and the
-    counts are combined map-side before the shuffle."""
-    return _phrases(dealt(week), n, ngram)
+    the log ratio of smoothed document shares; each review counts a phrase once, and a task's
+    counts are added up and packed before the shuffle."""
+    return _phrases(week_texts(week), n, ngram)
 
 
 def _phrases(rows: DataFrame, n: int, ngram: int) -> DataFrame:
-    split = rows.withColumn("is_pos", (F.col("polarity") == "positive").cast("int"))
-    totals = split.groupBy("place_name").agg(F.sum("is_pos").alias("pos_docs"),
-                                             F.sum(1 - F.col("is_pos")).alias("neg_docs"))
-    worded = split.select("place_name", "is_pos", T.words(F.col("review_text")).alias("words"))
-    counts = (T.each(worded, T.grams(F.col("words"), ngram), "phrase").drop("words")
-              .groupBy("place_name", "phrase").agg(F.sum("is_pos").alias("pos"),
-                                                   F.sum(1 - F.col("is_pos")).alias("neg")))
+    is_pos = (F.col("polarity") == "positive").cast("int").alias("is_pos")
+    totals = rows.select("place_name", is_pos).groupBy("place_name").agg(
+        F.sum("is_pos").alias("pos_docs"), F.sum(1 - F.col("is_pos")).alias("neg_docs"))
+    size = text_bytes(rows)
+    worded = dealt(rows, size).select("place_name", is_pos, T.words(F.col("review_text")).alias("words"))
+    phrases = worded.select("place_name", "is_pos", T.grams(F.col("words"), ngram).alias("phrases"))
+    parts = max(1, -(-size // (PACKED_TASKS * TASK_BYTES)), min(-(-16 * size // TASK_BYTES), PIECES))
+    counts = telling_texts(phrases, "place_name", "phrases", "is_pos", parts, "phrase", n)
     share = lambda c, total: (F.col(c) + 1) / (F.col(total) + 2)
     score = F.round(F.log(share("pos", "pos_docs") / share("neg", "neg_docs")), 6)
     side = F.when(F.col("score") > 0, "positive").when(F.col("score") < 0, "negative")
@@ -61,36 +70,38 @@ def _phrases(rows: DataFrame, n: int, ngram: int) -> DataFrame:
 
 
 def sentences(rows: DataFrame, max_words: int) -> DataFrame:
-    """Sentences of the review texts; a run of more than ``max_words`` words is cut into pieces of so many. Equal ones of a place and polarity become one row,
-    placed where the first of them stood."""
+    """Sentences of the review texts, in place of these, with their ``place_in_text``; a run of more than ``max_words``
+    words is cut into pieces of so many."""
     words = lambda s: F.filter(F.split(s, r"\s+", -1), lambda w: w != "")
     # a sentence's words are an argument of the next step, as an expression they would be split again for every piece
     found = F.transform(F.transform(F.split("review_text", r"[.!?\n]+", -1), T.strip), lambda s: F.struct(s.alias("s"), words(s).alias("w")))
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(max_words)),
                                 lambda i: F.array_join(F.slice(w, i, F.lit(max_words)), " "))
     pieces = F.flatten(F.transform(found, lambda x: F.when(F.size(x["w"]) > max_words, cut(x["w"])).otherwise(F.array(x["s"]))))
-    each = T.each(rows.select("place_name", "polarity", "review_datetime_utc", "review_id", "review_text"),
-                  pieces, "sentence", "pos").drop("review_text").filter(F.col("sentence") != "")
-    return (each.groupBy("place_name", "polarity", "sentence")
-            .agg(F.min(F.struct("review_datetime_utc", "review_id", "pos")).alias("place_in_text")))
+    each = T.each(rows, pieces, "sentence", "pos").filter(F.col("sentence") != "")
+    return each.withColumn("place_in_text", F.struct("review_datetime_utc", "review_id", "pos")).drop(
+        "review_text", "review_datetime_utc", "review_id", "pos")
 
 
 def review_digest(week: DataFrame, max_words: int = 200, n: int = 20, ngram: int = 2) -> DataFrame:
     """The heaviest sentences per place and polarity, up to ``max_words`` words in all."""
-    rows = dealt(week)  # read twice
-    # at most n phrases per place and polarity travel as one array; sentences meet it in pieces
-    weights = (_phrases(rows, n, ngram).groupBy("place_name", "polarity")
-               .agg(F.collect_list(F.struct("phrase", "weight")).alias("phrases"))
-               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))))
-    lines = sentences(rows, max_words).withColumn("n_words", F.size(F.filter(
-        F.split("sentence", r"\s+", -1), lambda w: w != "")))
-    worded = (lines.withColumn("grams", T.words(F.col("sentence"))).withColumn("grams", T.grams(F.col("grams"), ngram))
+    rows = week_texts(week)
+    # at most n phrases per place and polarity travel as one array; stored, as their size tells whether texts must move to meet them
+    weights = stored(_phrases(rows, n, ngram).groupBy("place_name", "polarity")
+                     .agg(F.collect_list(F.struct("phrase", "weight")).alias("phrases")), "week-phrases")
+    weights = weights.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    met = rows.withColumn("piece", F.pmod(F.xxhash64("review_id", "review_datetime_utc"), F.lit(PIECES)).cast("int")).join(
+        weights, ["place_name", "polarity", "piece"]).drop("piece")
+    worded = T.once(sentences(met, max_words), T.words(F.col("sentence")), "words")
+    worded = T.once(worded, T.grams(F.col("words"), ngram), "grams")
+    weight = F.aggregate(F.filter("phrases", lambda p: F.array_contains("grams", p["phrase"])), F.lit(0.0), lambda s, p: s + p["weight"])
+    lines = T.once(worded, F.when(F.arrays_overlap("grams", F.col("phrases.phrase")), F.round(weight, 6)), "score")
+    # sentences without a phrase go before any are gathered; equal ones of a place and polarity, of one score, become one row
+    # that stands where the first of them stood
+    scored = (lines.filter(F.col("score") > 0)
+              .groupBy("place_name", "polarity", "sentence", "score").agg(F.min("place_in_text").alias("place_in_text"))
+              .withColumn("n_words", F.size(F.filter(F.split("sentence", r"\s+", -1), lambda w: w != "")))
               .withColumn("piece", F.pmod(F.xxhash64("sentence"), F.lit(PIECES)).cast("int")))
-    met = F.filter("phrases", lambda p: F.array_contains("grams", p["phrase"]))
-    scored = (worded.join(weights, ["place_name", "polarity", "piece"])
-              .withColumn("score", F.round(F.aggregate(met, F.lit(0.0), lambda s, p: s + p["weight"]), 6))
-              .filter(F.col("score") > 0)
-              .select("place_name", "polarity", "piece", "sentence", "n_words", "place_in_text", "score"))
     order = [F.col("score").desc(), F.col("place_in_text"), F.col("sentence")]
     # a chosen sentence has a word or more, so the first max_words sentences decide
     best = top_k(scored, ["place_name", "polarity", "piece"], order, max_words).drop("rank", "piece")
